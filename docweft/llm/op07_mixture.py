@@ -45,7 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
     Sources in order of code points, null last, weigh ``weights`` over and
     again. Resharing the excess by weight until none is above ends at the level L
     with target = min(cap, L * weight) and sum(target) = sum(source_size); with
-    sources in order of cap / weight, L is found in one pass.
+    sources in order of cap / weight, L is the level at the first source that it
+    does not fill; levels taken further on are no higher.
     """
     cyc = F.array(*[F.lit(float(w)) for w in weights])
     order = Window.orderBy(F.col("_s") == "", "_s")
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
     every = Window.partitionBy()
     level = (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(after)
     leveled = ranked.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    settled = leveled.withColumn("level", F.min(F.when(F.col("fits"), F.col("level"))).over(every))
+    settled = leveled.withColumn("level", F.max(F.when(F.col("fits"), F.col("level"))).over(every))
     return settled.select("_s", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 

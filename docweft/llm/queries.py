@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import op01_topk, op02_sentencepiece, op03_embedding_dedup, op04_quality, op05_minhash, op06_toxicity, op07_mixture, op08_substrings, op09_langid, op10_records
+from docweft.llm import op01_topk, op02_sentencepiece, op03_embedding_dedup, op04_quality, op05_minhash, op06_toxicity, op07_mixture, op08_substrings, op09_langid
+from docweft.llm import op10_records as records
 
 
 def tokenizer_file(name: str) -> str:
@@ -63,7 +64,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_records.token_records(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return records.token_records(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -107,7 +108,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:]), z -> z[1] || ' ' || z[2])) END AS s FROM w
+    ELSE list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda z: z[1] || ' ' || z[2])) END AS s FROM w
 ), g AS (SELECT doc_id, unnest(s) AS g FROM s),
 n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
@@ -137,7 +138,7 @@ r AS (
     / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM f
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM f
 ), u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), p AS (
