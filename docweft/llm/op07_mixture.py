@@ -106,11 +106,12 @@ def thresholds(narrow: DataFrame, weights: tuple[float, ...], epochs: int, bins:
     return goals.join(last, "_s", "left").select("_s", "source_size", "target", "whole", "_last")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS, bins: int = BINS, keep: tuple[str, ...] | None = None) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS, bins: int = BINS, keep: tuple[str, ...] | None = None, words: str | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all if None) with size, source_size, target, copies int and taken long.
 
     ``quality``: weights of the draw, an expression over ``docs`` (all 1 if
-    None). copies: the complete epochs, plus 1 for the documents of the
+    None). ``words``: a column that already holds the sizes, so that joins need
+    not carry texts. copies: the complete epochs, plus 1 for the documents of the
     fractional selection. taken = copies * size: the words taken, repeats
     counted. A source's taken words exceed its target by less than a document.
     """
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         *[F.col(f"`{c}`") for c in names],
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("")).alias("_s"),
         F.col(f"`{key}`").alias("_id"),
-        word_count(F.col(f"`{text}`").cast("string")).alias("size"),
+        (word_count(F.col(f"`{text}`").cast("string")) if words is None else F.coalesce(F.col(f"`{words}`").cast("long"), F.lit(0))).alias("size"),
         _draw(F.col(f"`{key}`"), quality).alias("_key"),
     )
     scratch = Scratch(docs.sparkSession, "mixture")

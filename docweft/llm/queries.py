@@ -48,10 +48,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", op07_mixture.word_count(F.col("text")).alias("words"))
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     rated = docs.join(marks, F.col("doc_id") == F.col("label_id"), "left")
-    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("quality")), keep=("doc_id",))
+    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("quality")), keep=("doc_id",), words="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
