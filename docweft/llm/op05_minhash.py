@@ -11,10 +11,10 @@ estimate drops it once in a million.
 
 Documents with equal sets are one class from the start. Buckets are compared in
 two rounds, so that groups of near copies never yield all their pairs: first
-every member with the bucket's pivot, the member with most company over all its
-buckets (the original of a group of edited copies has most); then, after
-components, the members that the pivot's component left out with the members of
-other components. No candidate pair is dropped: a pair is either compared or
+every document with one pivot of its buckets (a bucket's pivot is the member
+with most company over all its buckets; the original of a group of edited copies
+has most); then, after components, the members that the pivot's component left
+out with the members of other components. No candidate pair is dropped: a pair is either compared or
 already known to be connected.
 
 Scale: one narrow pass over the texts makes rows of about 300 bytes; buckets,
@@ -173,13 +173,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     company = shared.groupBy("id").agg(F.sum("m").alias("company"))
     sigs = reps.select(F.col("rep").alias("id"), "sig").groupBy("id").agg(F.min("sig").alias("sig"))
     member = scratch.keep(shared.select("id", "bucket").join(company.join(sigs, "id"), "id"), "members")
-    pivots = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("id"), "sig")).alias("p")).select("bucket", (-F.col("p.id")).alias("pivot"), F.col("p.sig").alias("pivot_sig"))
-    first = (
-        member.join(pivots, "bucket")
-        .where((F.col("id") != F.col("pivot")) & (estimate(F.col("sig"), F.col("pivot_sig")) >= floor))
-        .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        .distinct()
-    )
+    pivots = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("id"), "sig")).alias("p")).select("bucket", (-F.col("p.id")).alias("pivot"), F.col("p.company").alias("pivot_company"), F.col("p.sig").alias("pivot_sig"))
+    # Each member meets one pivot here: a likely one with most company, so that groups hang on few.
+    agree = estimate(F.col("sig"), F.col("pivot_sig"))
+    met = member.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).select("id", "pivot", "pivot_company", agree.alias("agree")).where(F.col("agree") >= floor)
+    best = met.groupBy("id").agg(F.max(F.struct(F.col("agree") >= percent / 100.0, "pivot_company", (-F.col("pivot")).alias("pivot"))).alias("p"))
+    first = scratch.keep(best.select(F.col("id").alias("a"), (-F.col("p.pivot")).alias("b")), "first")
     links = scratch.keep(confirm(first, docs, words, percent, key, text), "links")
     part = scratch.keep(components(links, scratch), "parts")
 
