@@ -14,7 +14,7 @@ two rounds, so that groups of near copies never yield all their pairs: first
 every document with one pivot of its buckets (a bucket's pivot is the member
 with most company over all its buckets; the original of a group of edited copies
 has most); then, after components, the members that the pivot's component left
-out with the members of other components. No candidate pair is dropped: a pair is either compared or
+out with the members of other components, in blocks that send back links only. No candidate pair is dropped: a pair is either compared or
 already known to be connected.
 
 Scale: one narrow pass over the texts makes rows of about 300 bytes; buckets,
@@ -39,11 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.components import components
+from docweft.llm.op03_embedding_dedup import _forest
 from docweft.llm.scratch import Scratch
 from docweft.llm.words import mix, run_hashes, slices, split, views, word_hashes
 
 HASHES, BANDS, ROWS, BITS, SEED = 128, 25, 5, 2, 7_919
 WORDS, PERCENT = 5, 80
+#: Members of a bucket that one unit of the second round holds of each side.
+BLOCK = 512
 #: How far below the threshold an estimate may be before the pair goes unconfirmed.
 SLACK = 0.2
 
@@ -157,6 +160,138 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: st
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+class Cell:
+    """Members of one pair of a bucket's blocks; finds the candidate pairs that belong to this bucket."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.ids = rows.column("id").to_numpy()
+        self.parts = rows.column("part").to_numpy()
+        self.sides = rows.column("side").to_numpy()
+        flat = lambda c: np.stack([np.asarray(x) for x in rows.column(c).to_numpy()])
+        self.sigs, self.bands = flat("sig").view(np.uint64), flat("bands")
+        self.bucket = rows.column("bucket")[0].as_py()
+        self.same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        self.floor = percent / 100.0 - SLACK
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, candidates): places of both sides and which pairs of them must be compared.
+
+        Not yet connected, likely enough by their signatures, and with no shared
+        bucket before this one, so each pair is looked at in one bucket only.
+        """
+        n = np.arange(len(self.ids))
+        left, right = (n, n) if self.same else (n[self.sides == 0], n[self.sides == 1])
+        if not len(left) or not len(right):
+            return left, right, np.zeros((len(left), len(right)), bool)
+        live = self.parts[left][:, None] != self.parts[right][None, :]
+        if self.same:
+            live &= left[:, None] < right[None, :]
+        differ = np.zeros(live.shape, np.int64)
+        for w in range(self.sigs.shape[1]):
+            z = self.sigs[left, w][:, None] ^ self.sigs[right, w][None, :]
+            differ += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(_LANES))
+        chance = 2.0**-BITS
+        live &= ((HASHES - differ) / HASHES - chance) / (1 - chance) >= self.floor
+        band = int(np.argmax(self.bands[0] == self.bucket))
+        for k in range(band):
+            if not live.any():
+                break
+            live &= self.bands[left, k][:, None] != self.bands[right, k][None, :]
+        return left, right, live
+
+
+def overlaps(raw: list[str], words: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each text's set, intersections of left with right) over full sets, by products of incidence matrices."""
+    texts = views(pa.array(raw, pa.large_string()))
+    found = split(texts)
+    hashes = word_hashes(texts, found, lower=True)
+    sets = []
+    for i in range(len(texts)):
+        own = hashes[found.of[i] : found.of[i + 1]]
+        size = min(words, len(own))
+        sets.append(np.unique(run_hashes(own, np.arange(len(own) - size + 1), size)) if len(own) else own)
+    sizes = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # what stands in one text only adds to no intersection
+    names = np.cumsum(count > 1) - 1
+    of, column = of[shared], names[column[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int((count > 1).sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        have = np.zeros((len(sets), 4096), np.float32)
+        have[of[a:b], column[a:b] - low] = 1
+        total += have[left] @ have[right].T
+    return sizes, total
+
+
+_CELL = "bucket long, i int, j int, side int, id long, part long, sig array<long>, bands array<long>"
+
+
+def _cells(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Run ``work`` (a pa.Table to record batches) on the rows of each (bucket, i, j)."""
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c), np.int64) for c in ("bucket", "i", "j")], axis=1)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cut[:-1], cut[1:], strict=True):
+                key = tuple(keys[low])
+                if key != last and held:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = key
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def second_round(placed: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one bucket in different parts: a spanning forest of each unit of work.
+
+    placed: bucket, id, sig, part. A bucket is cut into blocks of BLOCK members,
+    and pairs of blocks are the units. Signatures go first; texts follow only for
+    members with a candidate left, and a unit compares them as matrices.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    rows = placed.select("bucket", "id", "part", "sig").join(sizes, "bucket").join(sets, "id")
+    rows = rows.withColumn("me", F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("bucket", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), (F.col("me") > F.col("other")).cast("int").alias("side"), "id", "part", "sig", "bands")
+
+    def screen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right, live = Cell(rows, percent).pairs()
+        keep = np.union1d(left[live.any(axis=1)], right[live.any(axis=0)])
+        if len(keep):
+            yield from rows.take(pa.array(keep)).combine_chunks().to_batches()
+
+    likely = scratch.keep(_cells(rows, screen, _CELL), "likely")
+    texts = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    asked = texts.join(likely.select("id").distinct(), "id", "left_semi")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = Cell(rows, percent)
+        left, right, live = cell.pairs()
+        if not live.any():
+            return
+        size, shared = overlaps(rows.column("_text").to_pylist(), words, left, right)
+        a, b = np.nonzero(live & (shared > 0) & (100 * shared.astype(np.int64) >= percent * (size[left][:, None] + size[right][None, :] - shared.astype(np.int64))))
+        forest = _forest(left[a], right[b], len(cell.ids))
+        if forest:
+            x, y = np.array(forest).T
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ids[x]), pa.array(cell.ids[y])], names=["a", "b"])
+
+    return _cells(likely.join(asked, "id").select("bucket", "i", "j", "side", "id", "part", "sig", "bands", "_text"), compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row an id: n_shingles, component_id (least id reachable by links), kept (is its own component)."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -185,18 +320,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     placed = member.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component", "company")
     main = pivots.select("bucket", F.col("pivot").alias("id")).join(part.withColumnRenamed("node", "id"), "id", "left").select("bucket", F.coalesce("component", "id").alias("main"))
     placed = scratch.keep(placed.join(main, "bucket"), "placed")
-    out = placed.where("part <> main").select("bucket", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("part").alias("part_a"))
-    # Pivots need no second look; two members outside the main component meet once.
-    rest = (
-        out.join(placed.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("part").alias("part_b"), "main"), "bucket")
-        .where((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (estimate(F.col("sig_a"), F.col("sig_b")) >= floor))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(scratch.keep(confirm(rest, docs, words, percent, key, text), "more"))
+    mixed = placed.where("part <> main").select("bucket").distinct()
+    if not mixed.isEmpty():
+        sets = reps.select(F.col("rep").alias("id"), "bands").groupBy("id").agg(F.min("bands").alias("bands"))
+        more = second_round(placed.join(mixed, "bucket"), sets, docs, words, percent, key, text, scratch)
+        links = links.unionByName(scratch.keep(more, "more"))
     # An id with rows of different sets ties their classes together.
     named = scratch.keep(live.join(by_set.select("fp", "rep"), "fp").groupBy("id").agg(F.collect_set("rep").alias("reps"), F.max("n").alias("n")), "named")
     ties = named.where(F.size("reps") > 1).select(F.col("id").alias("a"), F.explode("reps").alias("b"))
