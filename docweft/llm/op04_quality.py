@@ -32,7 +32,7 @@ from docweft.llm.learning import fold, labelled
 from docweft.llm.words import U64, Texts, mix, slices, split, views, word_hashes
 
 #: Labelled documents of each class that the fit may use.
-ROWS = 3000
+ROWS = 1500
 DIMS, EPOCHS, RATE, SEED = 8, 6, 0.6, 11
 #: Buckets of words and word pairs, and of byte n-grams.
 WORD_BITS, GRAM_BITS = 17, 16
@@ -79,7 +79,7 @@ def train(texts: list[bytes], y: np.ndarray, prior: float | None = None, rows: i
         t = Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
         every = [x for x, _ in features(t)]
         buckets, counts = np.unique(np.concatenate(every), return_counts=True)
-        bags.append((buckets, (counts / max(1, counts.sum())).astype(np.float32)))
+        bags.append((buckets.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     out, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
     steps, step = EPOCHS * len(bags), 0
