@@ -338,4 +338,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that are in the group of one with a smaller id; rows with a null id stay."""
     gone = near_duplicates(docs, words, percent, key, text).where("not kept").select(F.col(key).alias("_gone"))
-    return docs.join(gone, F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+    # A merge at any size: the documents that go grow with the corpus.
+    return docs.join(gone.hint("merge"), F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")

@@ -206,8 +206,8 @@ def _grid(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, first + time, 0), mask
 
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128) -> Net:
-    """The network fitted to documents and their labels."""
+def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128, steps: int = 250) -> Net:
+    """The network fitted to documents and their labels; small samples are gone over until ``steps`` steps are made."""
     if len(np.unique(y)) < 2:
         return Net(np.zeros(0, U64), {})
     rng = np.random.default_rng(SEED)
@@ -268,6 +268,8 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128)
             out[low : low + 1024] = forward(p, inputs(grid)[0], mask)
         return out
 
+    about = np.sum(y == 1) + np.minimum(np.bincount(text, minlength=len(y)), 3)[y == 0].sum()
+    epochs = max(epochs, min(80, int(-(-steps * batch // max(about, batch)))))
     for epoch in range(epochs):
         if epoch == 0:
             pick = rng.permutation(len(text))[:12_000]

@@ -187,9 +187,11 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     found = scratch.keep(fingerprints(rows, length, True).join(hot, "fp"), "found")
     classes = scratch.keep(found.groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "windows")).alias("x")), "stretches")
     kinds = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    sure = found.join(classes.where("n > 1").select("fp", "span"), ["fp", "span"]).select("k1", "k2", "at", "windows", F.lit(0).cast("long").alias("n"))
+    # n: 0 for every stretch found, -1 again for those that occur once as a whole, and how many a representative stands for.
+    alone = classes.where("n = 1").select("x.k1", "x.k2", "x.at", "x.windows", F.lit(-1).cast("long").alias("n"))
     open_ = classes.join(kinds.select("fp"), "fp").select("x.k1", "x.k2", "x.at", "x.windows", "n")
-    marks = sure.unionByName(open_).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "windows", "n")).alias("marks"))
+    marks = found.select("k1", "k2", "at", "windows", F.lit(0).cast("long").alias("n")).unionByName(alone).unionByName(open_)
+    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "windows", "n")).alias("marks"))
     name = "kept_sha256" if digest else "kept"
 
     def zip_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +217,9 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
                 for i in range(part.num_rows):
                     raw = unpress.decompress(z[i])
                     own = marks[i] or []
-                    spans = [(m["at"], m["windows"]) for m in own if m["n"] == 0]
-                    asked = [m for m in own if m["n"]]
+                    alone = {m["at"] for m in own if m["n"] < 0}
+                    spans = [(m["at"], m["windows"]) for m in own if m["n"] == 0 and m["at"] not in alone]
+                    asked = [m for m in own if m["n"] > 0]
                     n = len(raw.split())
                     lonely = any(m["n"] == 1 for m in asked)
                     hashes = None
@@ -279,5 +282,6 @@ def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
         return pd.Series([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "replace")) & 0x7FFFFFFF for x in texts], dtype="int32")
 
     keyed = docs.withColumn("_k1", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))).withColumn("_k2", own(spot.cast("string")))
-    joined = keyed.join(done, ["_k1", "_k2"], "left").where("_kept is null or _kept <> ''")
+    # Texts are dealt by key at any size: what was cut grows with the corpus.
+    joined = keyed.join(done.hint("merge"), ["_k1", "_k2"], "left").where("_kept is null or _kept <> ''")
     return joined.select(*[F.coalesce(F.col("_kept"), spot).alias(c) if c == text else F.col(f"`{c}`") for c in columns])
