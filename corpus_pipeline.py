@@ -33,10 +33,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each time a document is taken."""
-    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    rated = docs.join(marks, F.col("doc_id") == F.col("_label_id"), "left")
-    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("_quality")), keep=tuple(docs.columns))
+    """Sources at their target weights, clean text likelier: a row for each time a document is taken."""
+    mixed = op07_mixture.mix(docs, quality=op07_mixture.by_letters(F.col("text")), keep=tuple(docs.columns))
     return op07_mixture.repeated(mixed).select(*docs.columns)
 
 
