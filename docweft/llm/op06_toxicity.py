@@ -37,7 +37,7 @@ from docweft.llm.units import HashTable
 from docweft.llm.words import U64, Texts, Words, slices, split, views, word_hashes
 
 #: Labelled documents of each class that the fit may use.
-ROWS = 1000
+ROWS = 1500
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIMS, CHAR_DIMS = 8, 8, 8
 CHAR_BITS, GRAMS, LONGEST = 14, (3, 4, 5), 40
