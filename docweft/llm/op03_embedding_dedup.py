@@ -2,9 +2,10 @@
 
 Each table hashes a vector to the signs of its products with BITS random
 hyperplanes; vectors that agree in any table are compared by cosine in double
-precision. At cosine c a pair agrees in a table with (1 - acos(c) / pi) ** BITS:
-with 32 tables of 12 bits a pair at 0.95 is missed once in 34,000, closer pairs
-ever less.
+precision. At cosine c a pair agrees in a table with (1 - acos(c) / pi) ** bits:
+with 32 tables of 12 bits a pair at 0.95 is missed once in 34,000 (MISSED). With
+more bits there are as many more tables as keep a pair at ``similar`` under that
+(53 at 16 bits, 104 at 22); closer pairs are missed ever less.
 
 Identical vectors are one class before hashing. A bucket is cut into blocks of
 BLOCK vectors by hash, and pairs of blocks are the unit of work, so a bucket
@@ -12,9 +13,9 @@ with a third of all rows is many tasks of at most 2 * BLOCK vectors. A pair that
 agrees in several tables counts in the first of them. A unit of work sends back
 a number of links a vector and a spanning forest, never its pairs.
 
-Scale: the shuffle is TABLES rows a vector (float32 inputs stay 4 bytes a
-component); bits should grow by one as the number of vectors doubles from a
-million, which ``bits`` does by the row count.
+Scale: the shuffle is a row a table and vector (float32 inputs stay 4 bytes a
+component); bits grow by one as the number of vectors doubles from a million, so
+that buckets stay small, and the tables with them (by an eighth or so a bit).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors of another length than a pair's other, link with
@@ -37,6 +38,16 @@ from docweft.llm.scratch import Scratch
 
 TABLES, BITS, BLOCK, SEED = 32, 12, 512, 20240229
 SIMILAR = 0.95
+#: Largest share of the pairs at the threshold that may share no bucket.
+MISSED = 1 / 34_000
+
+
+def tables_for(bits: int, similar: float = SIMILAR) -> int:
+    """Tables of ``bits`` bits, TABLES at least, that a pair at ``similar`` shares no bucket of with MISSED at most."""
+    agree = (1 - np.arccos(np.clip(similar, -1.0, 1.0)) / np.pi) ** bits
+    if not 0 < agree < 1:
+        return TABLES
+    return max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-agree))))
 
 
 def _planes(dims: int, tables: int, bits: int) -> np.ndarray:
@@ -180,7 +191,7 @@ def compare(hashed: DataFrame, tables: int, width: int, similar: float, block: i
     return cells.mapInArrow(run, "a long, b long, links long")
 
 
-def near_duplicates(rows: DataFrame, similar: float = SIMILAR, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, bits: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_duplicates(rows: DataFrame, similar: float = SIMILAR, key: str = "vec_id", vector: str = "embedding", tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """A row an id: n_links (other vectors linked directly), component_id (least id reachable), kept (is its own component)."""
     scratch = Scratch(rows.sparkSession, "embeddings")
     kind = rows.schema[vector].dataType.elementType.simpleString()
@@ -192,6 +203,7 @@ def near_duplicates(rows: DataFrame, similar: float = SIMILAR, key: str = "vec_i
     if bits is None:
         bits = max(BITS, (max(once.count(), 1) - 1).bit_length() - 8)
         bits = min(bits, 30)
+    tables = tables_for(bits, similar) if tables is None else tables
     # -0.0 and 0.0 are one value of a vector.
     classes = once.where("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind if width == 4 else "double"))).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     hashed = scratch.keep(_hashed(classes.select("id", "size", "v"), tables, bits, width), "hashed")

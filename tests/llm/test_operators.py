@@ -76,6 +76,28 @@ def test_embedding_links(spark):
     assert op03_embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", range(12, 31))
+def test_embedding_tables_grow_with_bits(spark, monkeypatch, bits):
+    used = []
+    monkeypatch.setattr(op03_embedding_dedup, "_hashed", lambda rows, tables, bits, width: used.append((tables, bits)) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        op03_embedding_dedup.near_duplicates(vectors(spark).limit(3), bits=bits)
+    (tables, own), agree = used[0], (1 - np.arccos(0.95) / np.pi) ** bits
+    assert own == bits and (1 - agree) ** tables <= 1 / 34_000
+
+
+def test_embedding_pairs_found_at_22_bits(spark):
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9501 * a + (1 - 0.9501**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([a, b]))]
+    got = op03_embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"), bits=22)
+    assert got.where("n_links = 1 and component_id = vec_id % 1500").count() == 3000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 100), *[(300, i) for i in range(301, 340)]]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
