@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A token is a word, A-Z folded. Its input is a learned vector of the word, if the
+A token is a word, A-Z folded; a word of over LONGEST bytes is several tokens,
+stretches that overlap so that each of its n-grams is in one. A token's input is a learned vector of the word, if the
 sample has it often enough, beside the mean of learned vectors of its hashed
 character n-grams (3 to 5 bytes, with both ends marked). Two gated recurrent
 layers read a window of tokens in either direction, attention pools their states,
@@ -50,8 +51,21 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _cut(words: Words) -> Words:
+    """Those of over LONGEST bytes as stretches of LONGEST, evenly spaced, each n-gram whole in one of them."""
+    size = words.end - words.start
+    if not len(size) or size.max() <= LONGEST:
+        return words
+    lap = max(GRAMS) - 1
+    parts = np.where(size > LONGEST, -(-(size - lap) // (LONGEST - lap)), 1)
+    own = np.repeat(np.arange(len(size)), parts)
+    bounds = np.concatenate([[0], np.cumsum(parts)])
+    start = words.start[own] + (np.arange(len(own)) - bounds[own]) * (size[own] - LONGEST) // np.maximum(parts[own] - 1, 1)
+    return Words(start, np.minimum(start + LONGEST, words.end[own]), bounds[words.of])
+
+
 def tokens(texts: Texts) -> Words:
-    """Words without the signs at their ends; words of signs only stay as they are."""
+    """Words without the signs at their ends, long ones cut; words of signs only stay as they are."""
     words = split(texts)
     if not len(words):
         return words
@@ -61,18 +75,16 @@ def tokens(texts: Texts) -> Words:
     prv = np.maximum.accumulate(np.where(plain, place, -1))
     start, end = nxt[words.start], prv[words.end - 1] + 1
     none = start >= words.end
-    return Words(np.where(none, words.start, start), np.where(none, words.end, end), words.of)
+    return _cut(Words(np.where(none, words.start, start), np.where(none, words.end, end), words.of))
 
 
 def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) of every character n-gram of some words; of a long word its first and last bytes count."""
+    """(bucket, word) of every character n-gram of some words."""
     out, of = [], []
-    size = np.minimum(end - start, LONGEST)
+    size = end - start
     for length in np.unique(size):
         rows = np.flatnonzero(size == length)
-        half = int(length) // 2
-        at = np.arange(int(length))
-        spot = np.where(at < half, start[rows][:, None] + at, end[rows][:, None] - int(length) + at)
+        spot = start[rows][:, None] + np.arange(int(length))
         chars = np.full((len(rows), int(length) + 2), 1, np.uint32)
         chars[:, 1:-1] = _LOWER[data[spot]]
         chars[:, -1] = 2

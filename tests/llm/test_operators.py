@@ -227,6 +227,22 @@ def test_classifiers(spark, docs, none):
     assert kept.columns == df.columns and kept.where("doc_id between 2000 and 2999").count() == 0
 
 
+def test_toxicity_reads_all_of_long_tokens():
+    for n in (1, 39, 40, 41, 76, 77, 300, 5000):
+        raw = bytes(RNG.integers(97, 123, n, dtype=np.uint8))
+        texts = op06_toxicity.Texts(np.frombuffer(raw + b" tail" + raw, np.uint8), np.array([0, n + 5, 2 * n + 5]))
+        words = op06_toxicity.tokens(texts)
+        own = [texts.data[a:b].tobytes() for a, b in zip(words.start[: words.of[1]], words.end[: words.of[1]], strict=True)]
+        assert own.pop() == b"tail" and max(map(len, own)) <= op06_toxicity.LONGEST
+        assert {raw[i : i + 5] for i in range(max(n - 4, 1))} == {x[i : i + 5] for x in own for i in range(max(len(x) - 4, 1))}
+        assert own[0] == raw[:40] and own[-1] == raw[-40:] and len(own) == len(words) - words.of[1]
+    good, foul = ["_".join(prose(12).split()) for _ in range(200)], ["_".join([*prose(6).split(), "scoundrel", *prose(6).split()]) for _ in range(200)]
+    net = op06_toxicity.train([x.encode() for x in good[:150] + foul[:150]], np.repeat([0, 1], 150))
+    held = pa.array(good[150:] + foul[150:])
+    scores = op06_toxicity.Scorer(net).score(op06_toxicity.views(held))
+    assert np.mean((scores > 0.5) == np.repeat([False, True], 50)) > 0.9
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in op06_toxicity._start(rng, 5).items()}
