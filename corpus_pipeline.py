@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five-word shingles, 0.8)."""
-    return op05_minhash.deduplicated(docs)
+    """The document with the least id of each group of near copies (five-word shingles, 0.8), one row of it; rows without an id only if no other has their set."""
+    return op05_minhash.deduplicated(docs, nulls=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from docweft.llm.components import components
 from docweft.llm.op03_embedding_dedup import _forest
 from docweft.llm.scratch import Scratch
-from docweft.llm.words import mix, run_hashes, slices, split, views, word_hashes
+from docweft.llm.words import Texts, mix, run_hashes, slices, split, views, word_hashes
 
 HASHES, BANDS, ROWS, BITS, SEED = 128, 25, 5, 2, 7_919
 WORDS, PERCENT = 5, 80
@@ -84,6 +84,28 @@ def estimate(x: Column, y: Column) -> Column:
     return ((HASHES - differ) / float(HASHES) - chance) / (1 - chance)
 
 
+def _sets(texts: Texts, words: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's set."""
+    found = split(texts)
+    hashes = word_hashes(texts, found, lower=True)
+    count = np.diff(found.of)
+    full = np.maximum(count - words + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(full)])
+    shingles = run_hashes(hashes, np.arange(bounds[-1]) + np.repeat(found.of[:-1] - bounds[:-1], full), words) if bounds[-1] else np.zeros(0, np.uint64)
+    for i in range(len(texts)):
+        if count[i] >= words:
+            yield np.unique(shingles[bounds[i] : bounds[i + 1]])
+        elif count[i]:
+            yield run_hashes(hashes[found.of[i] : found.of[i + 1]], np.array([0]), int(count[i]))
+        else:
+            yield np.zeros(0, np.uint64)
+
+
+def _print(own: np.ndarray) -> bytes | None:
+    """The fingerprint of a set, none of an empty one."""
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+
+
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """(id, n, fp binary, bands array<long>, sig array<long>): n is the size of the set; the rest is null for an empty one."""
     rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -94,27 +116,15 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
         order = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for batch in slices(batches, "_text"):
             texts = views(batch.column("_text"))
-            found = split(texts)
-            hashes = word_hashes(texts, found, lower=True)
-            count = np.diff(found.of)
             sizes, fps, bands, sigs = [], [], [], []
-            full = np.maximum(count - words + 1, 0)
-            bounds = np.concatenate([[0], np.cumsum(full)])
-            shingles = run_hashes(hashes, np.arange(bounds[-1]) + np.repeat(found.of[:-1] - bounds[:-1], full), words) if bounds[-1] else np.zeros(0, np.uint64)
-            for i in range(len(texts)):
-                if count[i] >= words:
-                    own = np.unique(shingles[bounds[i] : bounds[i + 1]])
-                elif count[i]:
-                    own = run_hashes(hashes[found.of[i] : found.of[i + 1]], np.array([0]), int(count[i]))
-                else:
-                    own = np.zeros(0, np.uint64)
+            for own in _sets(texts, words):
                 sizes.append(len(own))
                 if not len(own):
                     fps.append(None)
                     bands.append(None)
                     sigs.append(None)
                     continue
-                fps.append(xxhash.xxh3_128_digest(own.tobytes()))
+                fps.append(_print(own))
                 low = minima((own >> np.uint64(32)).astype(np.uint32), flips, factors)
                 wide = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 bands.append(mix(mix((wide * powers).sum(axis=1, dtype=np.uint64)) + order).view(np.int64))
@@ -292,10 +302,10 @@ def second_round(placed: DataFrame, sets: DataFrame, docs: DataFrame, words: int
     return _cells(likely.join(asked, "id").select("bucket", "i", "j", "side", "id", "part", "sig", "bands", "_text"), compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row an id: n_shingles, component_id (least id reachable by links), kept (is its own component)."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", every: DataFrame | None = None) -> DataFrame:
+    """A row an id: n_shingles, component_id (least id reachable by links), kept (is its own component). ``every``: signatures made before."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    every = scratch.keep(signatures(docs, words, key, text), "signatures")
+    every = scratch.keep(signatures(docs, words, key, text), "signatures") if every is None else every
     live = every.where("fp is not null")
     # Rows with equal sets, or with one id, are connected: a class is named by its least id.
     by_set = live.groupBy("fp").agg(F.min("id").alias("rep"))
@@ -335,8 +345,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return final.withColumn("kept", F.col(key) == F.col("component_id"))
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are in the group of one with a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs, words, percent, key, text).where("not kept").select(F.col(key).alias("_gone"))
-    # A merge at any size: the documents that go grow with the corpus.
-    return docs.join(gone.hint("merge"), F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+def _single(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(_row struct, fp): the least row, as JSON, of each key and set; rows without words are equal if their texts are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    schema = rows.withColumn("fp", F.lit(None).cast("binary")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            fps = [_print(own) for own in _sets(views(batch.column("_text")), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "fp"])
+
+    wordless = F.when(F.col("fp").isNull(), F.col("_text"))
+    return rows.mapInArrow(run, schema).groupBy("_key", "fp", wordless.alias("_text")).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row", "fp")
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", nulls: bool = False) -> DataFrame:
+    """``docs`` without the documents that are in the group of one with a smaller id, and one row of each id and set.
+
+    Rows with a null id stay, one of each set; with ``nulls`` only those of sets
+    that no row with an id has.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    every = scratch.keep(signatures(docs, words, key, text), "signatures")
+    own = F.col(f"`{key}`").cast("long")
+    gone = scratch.keep(near_duplicates(docs, words, percent, key, text, every).where("not kept").select(F.col(key).alias("_gone")), "gone")
+    again = scratch.keep(every.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("_gone")).distinct(), "again")
+    bare = docs.where(F.col(f"`{key}`").isNull())
+    # Merges at any size: the documents that go grow with the corpus.
+    out = docs.where(F.col(f"`{key}`").isNotNull()).join(gone.unionByName(again).hint("merge"), own == F.col("_gone"), "left_anti")
+    if not again.isEmpty():
+        rows = docs.join(again.join(gone, "_gone", "left_anti").hint("merge"), own == F.col("_gone"), "left_semi")
+        out = out.unionByName(_single(rows, words, key, text).select("_row.*"))
+    if not bare.isEmpty():
+        rows = _single(bare, words, key, text)
+        if nulls:
+            rows = rows.join(every.select("fp").distinct().hint("merge"), "fp", "left_anti")
+        out = out.unionByName(rows.select("_row.*"))
+    return out

@@ -304,3 +304,17 @@ def test_pipeline(spark, tmp_path):
     ours = corpus_pipeline.run(spark, sf).select("doc_id", "ids_crc32").collect()
     assert sorted(map(tuple, ours)) == sorted(map(tuple, docs.select("doc_id", "ids_crc32").collect()))
     assert docs.where("not decodes").count() == 0 and docs.count() > 50
+
+
+def test_pipeline_keeps_one_of_repeated_and_null_id_rows(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(90) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a.upper()), (2, b), (2, c), (2, c), (None, d), (None, d), (None, b), (5, a), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = corpus_pipeline.near_dedup(spark, docs, "")
+    assert once.columns == docs.columns
+    left = corpus_pipeline.substring_dedup(spark, once, "").select("doc_id", "text").collect()
+    want = Counter([(1, min(a, a.upper())), (2, b), (2, c), (None, d), (6, ""), (None, None)])
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in left if r.text) == Counter({k: n for k, n in want.items() if k[1]})
