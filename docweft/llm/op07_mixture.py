@@ -71,11 +71,6 @@ def by_label(quality: Column) -> Column:
     return F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0)
 
 
-def by_letters(text: Column) -> Column:
-    """Weights of the draw from texts alone: the share of letters and blanks among the characters."""
-    return F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.length(text)
-
-
 def _draw(key: Column, quality: Column | None) -> Column:
     """The exponential key of a document."""
     if quality is None:

@@ -318,3 +318,19 @@ def test_pipeline_keeps_one_of_repeated_and_null_id_rows(spark):
     want = Counter([(1, min(a, a.upper())), (2, b), (2, c), (None, d), (6, ""), (None, None)])
     assert Counter((r.doc_id, r.text) for r in once.collect()) == want
     assert Counter((r.doc_id, r.text) for r in left if r.text) == Counter({k: n for k, n in want.items() if k[1]})
+
+
+def test_pipeline_draws_by_quality_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "plain words of one kind", "en", "ab"[i % 2], 23) for i in range(800)]
+    rows += [rows[0], (None, "no id", "en", "a", 5), (None, "no id", "en", None, 5), (0, "", "en", "a", 0), (0, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(800)] + [(0, None), (None, 1)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = Counter(map(tuple, corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()))
+    rated = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("quality")), keep=tuple(docs.columns))
+    assert got == Counter(map(tuple, op07_mixture.repeated(mixed).select(*docs.columns).collect()))
+    good, bad = (sum(n for r, n in got.items() if r[3] == "a" and r[0] is not None and r[0] // 2 % 2 == y) for y in (1, 0))
+    assert good > 1.5 * bad > 0
