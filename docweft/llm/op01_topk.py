@@ -13,16 +13,18 @@ holds one block of each. The shuffle of results is k rows a query and block,
 pre-cut to k by query in each task.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
-components take no part; null ids take no part; components whose weight leaves
-+-2**62 / 2**31 are an error; a query's own id is no candidate; repeated rows
-with one id count as one candidate (the greatest score); ties go to the smaller
-id; vectors of unequal lengths meet in the terms they share; fewer than k
+components take no part; null ids take no part; weights beyond 64 bits are an
+error, and so is a score beyond them that is among the k best (sums that could
+leave them are taken in unbounded integers); a query's own id is no candidate;
+rows that repeat an id, whatever their vectors, count as one candidate (the
+greatest score); ties go to the smaller id; vectors of unequal lengths meet in the terms they share; fewer than k
 candidates give fewer rows; an empty table gives none; other columns are not
 read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +44,12 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of every component, as long."""
-    return F.transform(vector, lambda x: F.floor(x * float(scale)).cast("long"))
+    """floor(scale * x) of every component, as long; an error where that has none."""
+    return F.transform(vector, lambda x: F.when(F.abs(x * float(scale)) < 2.0**63, F.floor(x * float(scale))).otherwise(F.raise_error(F.lit("a component's weight is beyond 64 bits")).cast("long")))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(block long, ids binary, at binary, terms binary, weights binary): up to ``size`` rows each, as sparse rows."""
+    """(block, ids, at, terms, weights), all binary: up to ``size`` rows each, as sparse rows; block is a digest of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +63,11 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 row = np.repeat(np.arange(len(ids)), lengths)
                 live = weights != 0
                 at = np.concatenate([[0], np.cumsum(np.bincount(row[live], minlength=len(ids)))])
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([ids.tobytes()], pa.binary()), "at": pa.array([at.astype(np.int64).tobytes()], pa.binary()), "terms": pa.array([terms[live].astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights[live].tobytes()], pa.binary())})
+                out = [ids.tobytes(), at.astype(np.int64).tobytes(), terms[live].astype(np.int32).tobytes(), weights[live].tobytes()]
+                digest = hashlib.blake2b(b"".join(out), digest_size=16).digest()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (digest, *out)], names=["block", "ids", "at", "terms", "weights"])
 
-    return rows.mapInArrow(run, "ids binary, at binary, terms binary, weights binary")
+    return rows.mapInArrow(run, "block binary, ids binary, at binary, terms binary, weights binary")
 
 
 class Postings:
@@ -77,14 +81,17 @@ class Postings:
         names, first = np.unique(terms[order], return_index=True)
         ends = np.append(first[1:], len(order))
         self.of = {int(t): (row[order[a:b]], weights[order[a:b]]) for t, a, b in zip(names, first, ends, strict=True)}
+        self.most = {t: float(np.abs(own.astype(np.float64)).max()) for t, (_, own) in self.of.items()}
 
-    def scores(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all candidates, and which of them shared a term."""
-        score = np.zeros(len(self.ids), np.int64)
+    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all candidates: 64-bit where no sum can leave that, else unbounded integers."""
+        bound = sum(abs(float(w)) * self.most.get(t, 0.0) for t, w in zip(terms.tolist(), weights.tolist(), strict=True))
+        score = np.zeros(len(self.ids), np.int64 if bound < 2.0**62 else object)
         for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
             rows, own = self.of.get(term, (None, None))
             if rows is None:
                 continue
+            own = own.astype(score.dtype, copy=False)
             if len(rows) == len(score):
                 score += weight * own  # every candidate has it, in order
             else:
@@ -92,20 +99,25 @@ class Postings:
         return score
 
 
+def _ranked(ids: np.ndarray, score: np.ndarray, places: np.ndarray) -> np.ndarray:
+    if score.dtype != object:
+        return places[np.lexsort((ids[places], -score[places]))]
+    return np.array(sorted(places.tolist(), key=lambda i: (-score[i], ids[i])), np.int64)
+
+
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k greatest scores, ties to smaller ids, one an id."""
-    low = 0
-    if len(score) > 4 * k:
+    if len(score) > 4 * k and score.dtype != object:
         cut = np.partition(score, len(score) - k)[len(score) - k]
         places = np.flatnonzero(score >= cut)
     else:
         places = np.arange(len(score))
-    places = places[np.lexsort((ids[places], -score[places]))]
+    places = _ranked(ids, score, places)
     _, low = np.unique(ids[places], return_index=True)
     distinct = places[np.sort(low)]
     if len(distinct) < k and len(places) < len(score):
         # Repeated ids took places: all candidates are looked at.
-        places = np.lexsort((ids, -score))
+        places = _ranked(ids, score, np.arange(len(score)))
         _, low = np.unique(ids[places], return_index=True)
         distinct = places[np.sort(low)]
     return distinct[:k]
@@ -120,7 +132,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, cells: int | None
     spark = queries.sparkSession
     cells = cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sides = [x.where("id is not null and weights is not null").select(F.col("id").cast("long"), "weights") for x in (candidates, queries)]
-    left = _blocks(sides[0], block).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)))
+    left = _blocks(sides[0], block).withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)))
     right = _blocks(sides[1], query_block).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "at", "terms", "weights")]).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     met = left.join(right, "cell").drop("cell")
 
@@ -129,8 +141,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, cells: int | None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if row["ids"] != held:
-                    held, postings = row["ids"], Postings(row["ids"], row["at"], row["terms"], row["weights"])
+                if row["block"] != held:
+                    held, postings = row["block"], Postings(row["ids"], row["at"], row["terms"], row["weights"])
                 ids, at = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_at"], np.int64)
                 terms, weights = np.frombuffer(row["q_terms"], np.int32), np.frombuffer(row["q_weights"], np.int64)
                 out: tuple[list, list, list] = ([], [], [])
@@ -141,7 +153,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, cells: int | None
                     out[0].append(np.full(len(places), query))
                     out[1].append(postings.ids[places])
                     out[2].append(score[places])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "score"])
+                if any(abs(int(x)) >= 1 << 63 for one in out[2] if one.dtype == object for x in one):
+                    raise OverflowError("a score among the best is beyond 64 bits")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "id", "score"])
 
     found = met.mapInArrow(run, "query_id long, id long, score long")
     # Repeated query rows and repeated ids agree here; the rest is k rows a query and block.

@@ -13,8 +13,9 @@ Scale: one narrow pass over the texts, no shuffle; memory is a chunk of about
 
 Defined cases: null and empty text has no ids and decodes to the empty string;
 null ids and repeated rows pass row by row; an empty table gives no rows; other
-columns of the input are kept as they are unless their name is one of the
-outputs, which replaces it.
+columns of the input are kept as they are, whatever their names, unless their
+name is one of the outputs, which replaces it. The model file is read where the
+driver runs; tasks get its bytes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +81,8 @@ class Model:
     escape: bool = True
 
 
-def read_model(path: str) -> Model:
-    with open(path, "rb") as f:
-        data = f.read()
+def read_model(data: bytes) -> Model:
+    """The model of a file's bytes."""
     model = Model()
     for number, value in _fields(data):
         if number == 1:
@@ -151,9 +152,9 @@ def build(model: Model):
 class Codec:
     """A model's encoder and decoder over Texts."""
 
-    def __init__(self, path: str, threads: bool = True):
+    def __init__(self, data: bytes, threads: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads else "false")
-        self.model = read_model(path)
+        self.model = read_model(data)
         self.tokenizer = build(self.model)
         opens = np.array([text.startswith(MARK) for text, _, _ in self.model.pieces])
         # A unit's end is safe if no piece goes on from a non-space into a space, and nothing else rewrites the text.
@@ -216,7 +217,7 @@ def parity(path: str, texts: list[str]) -> list[int]:
     """Places of the texts that the sentencepiece library encodes or decodes otherwise."""
     import sentencepiece
 
-    codec, other = Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    codec, other = Codec(Path(path).read_bytes()), sentencepiece.SentencePieceProcessor(model_file=path)
     ids, at = codec.encode(views(pa.array(texts, pa.large_string())))
     data, bounds = codec.decode(ids, at)
     bad = []
@@ -226,13 +227,13 @@ def parity(path: str, texts: list[str]) -> list[int]:
     return bad
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
-def _codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def _codec(data: bytes) -> Codec:
+    if data not in _CODECS:
+        _CODECS[data] = Codec(data)
+    return _CODECS[data]
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
@@ -246,19 +247,21 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
     added = [T.StructField("input_ids", T.ArrayType(T.IntegerType(), False))] * with_ids + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decodes", T.BooleanType())] + [T.StructField("decoded", T.StringType())] * with_text
     names = {f.name for f in added}
     kept = [f for f in docs.schema.fields if f.name not in names and f.name != text]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = T.StructType([*kept, *added])
+    # Columns travel under their places, so no name of theirs can clash.
+    source = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), *added])
+    shared = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
-        for batch in slices(batches, "_text"):
-            texts = views(batch.column("_text"))
+        codec = _codec(shared.value)
+        for batch in slices(batches, "text"):
+            texts = views(batch.column("text"))
             ids, at = codec.encode(texts)
             data, bounds = codec.decode(ids, at)
             raw = ids.astype("<u4", copy=False)
             crc = [zlib.crc32(raw[at[i] : at[i + 1]]) for i in range(len(texts))]
             same = [data[bounds[i] : bounds[i + 1]].tobytes() == codec.normal(texts.text(i)) for i in range(len(texts))]
-            out = [batch.column(f.name) for f in kept]
+            out = batch.columns[: len(kept)]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
             out += [pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
@@ -266,4 +269,5 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
                 out.append(pa.array([data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(texts))], pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    done = source.mapInArrow(run, schema)
+    return done.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], *[f.name for f in added])

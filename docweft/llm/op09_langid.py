@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ _BASE = U64(0x9E3779B97F4A7C15)
 def pieces_of(path: str) -> list[bytes]:
     """The vocabulary's pieces of at most PIECE bytes, a space for the marker, and all single bytes."""
     found = {bytes([i]) for i in range(256)}
-    for text, _, kind in read_model(path).pieces:
+    for text, _, kind in read_model(Path(path).read_bytes()).pieces:
         if kind in (NORMAL, USER_DEFINED) and text.count(MARK) <= 1 and not text[1:].count(MARK):
             raw = text.replace(MARK, " ").encode()
             if 0 < len(raw) <= PIECE:

@@ -8,15 +8,17 @@ holds three int64 a record: its frame's offset, its number of ids, and the ids
 of the file before it; an extra row closes the file. A reader of any record
 needs one index row and one range of bytes, so epochs can be shuffled.
 
-Files follow the order of ids: rows are range-partitioned and sorted by
-(id, text), and file k holds partition k. Tasks write under a name of their own
+Files follow the order of ids: rows are range-partitioned and sorted by id (rows
+of one id by a hash of their texts), and a task closes a file and opens the next
+one when it holds FILE_BYTES, whatever the number of partitions. Tasks write under a name of their own
 through the file system that the folder's URI names; only the files of
 attempts whose rows reached the manifest count, so a lost executor's half file
 is never read.
 
-Scale: one range shuffle of the texts; a task holds about 1 MB of text. Ids are
-stored in 2 bytes where they fit. Reading is cut into pieces of a few thousand
-records, whatever the files' sizes.
+Scale: one range shuffle of the texts; a task holds about 1 MB of text, and the
+index goes out with the frames. A null or repeated id may span partitions. Ids
+are stored in 2 bytes where they fit. Reading is cut into pieces of a few
+thousand records, and those into reads of READ_BYTES or one longer record.
 
 Defined cases: null and empty text is a record of the end id alone; a null id
 sorts first and stays null; repeated rows each get a record; an empty table
@@ -29,6 +31,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ from docweft.llm.words import slices, views
 MASK = 0xA282EAD8
 FRAME = 20
 _READ = 2048
+FILE_BYTES, READ_BYTES = 256 << 20, 8 << 20
 
 
 def masked(crc: int) -> int:
@@ -86,59 +90,75 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[bytes, UnitEncoder] = {}
 
 
-def _encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = byte_level(path)
-    return _ENCODERS[path]
+def _encoder(data: bytes) -> UnitEncoder:
+    if data not in _ENCODERS:
+        _ENCODERS[data] = byte_level(data)
+    return _ENCODERS[data]
 
 
-def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
+class RecordFile:
+    """One .rec file and its .idx, written as the frames come."""
+
+    def __init__(self, system, folder: str, name: str):
+        self.name, self.at, self.records, self.ids = name, 0, 0, 0
+        self.rec, self.idx = (system.open_output_stream(f"{folder}/{name}.{x}") for x in ("rec", "idx"))
+
+    def write(self, frames: list[bytes], counts: list[int]) -> None:
+        sizes = np.array([len(x) for x in frames], np.int64)
+        ids = np.array(counts, np.int64)
+        self.rec.write(b"".join(frames))
+        self.idx.write(np.stack([self.at + np.cumsum(sizes) - sizes, ids, self.ids + np.cumsum(ids) - ids], axis=1).astype("<i8").tobytes())
+        self.at, self.records, self.ids = self.at + int(sizes.sum()), self.records + len(frames), self.ids + int(ids.sum())
+
+    def close(self) -> None:
+        self.idx.write(np.array([self.at, 0, self.ids], "<i8").tobytes())
+        self.rec.close()
+        self.idx.close()
+
+
+def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` under the folder ``out`` in ascending order of ``key``; returns the lazy manifest.
 
-    Manifest: part int (order of the files), file string, records long, ids
-    long. Writing happens as the manifest is computed; keep it in a table and
-    read only what it lists.
+    Manifest: part int and nth int (order of the files), file string, records
+    long, ids long. Writing happens as the manifest is computed; keep it in a
+    table and read only what it lists. The tokenizer's file is read on the driver.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
-    rows = rows.repartitionByRange(files, "_key").sortWithinPartitions("_key", "_text")
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions, "key", "tie").sortWithinPartitions("key", "tie").drop("tie")
+    shared = spark.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(shared.value)
         width = 2 if max(len(encoder.opens) - 1, end_id) < 1 << 16 else 4
         system, folder = _place(out)
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        sink, offsets, counts, at = None, [], [], 0
-        for batch in slices(batches, "_text"):
-            if sink is None:
+        part, nth, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
+        file: RecordFile | None = None
+
+        def done(file: RecordFile) -> pa.RecordBatch:
+            file.close()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (nth, pa.int32()), (file.name, pa.string()), (file.records, pa.int64()), (file.ids, pa.int64()))], names=["part", "nth", "file", "records", "ids"])
+
+        for batch in slices(batches, "text"):
+            if file is not None and file.at >= file_bytes:
+                yield done(file)
+                file, nth = None, nth + 1
+            if file is None:
                 system.create_dir(folder, recursive=True)
-                sink = system.open_output_stream(f"{folder}/{name}.rec")
-            ids, bounds = encoder.encode(views(batch.column("_text")))
-            frames = []
-            for i, doc_id in enumerate(batch.column("_key").to_pylist()):
-                own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
-                frames.append(frame(pack(doc_id, own, width)))
-                offsets.append(at)
-                counts.append(len(own))
-                at += len(frames[-1])
-            sink.write(b"".join(frames))
-        if sink is None:
-            return
-        sink.close()
-        before = np.concatenate([[0], np.cumsum(counts)])
-        index = np.stack([[*offsets, at], [*counts, 0], before], axis=1).astype("<i8")
-        with system.open_output_stream(f"{folder}/{name}.idx") as f:
-            f.write(index.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(counts)], pa.int64()), pa.array([int(before[-1])], pa.int64())], names=["part", "file", "records", "ids"])
-
-    return rows.mapInArrow(run, "part int, file string, records long, ids long")
+                file = RecordFile(system, folder, f"part-{part:06d}-{nth:04d}-{attempt}")
+            ids, bounds = encoder.encode(views(batch.column("text")))
+            frames = [frame(pack(doc_id, np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)), width)) for i, doc_id in enumerate(batch.column("key").to_pylist())]
+            file.write(frames, (np.diff(bounds) + 1).tolist())
+        if file is not None:
+            yield done(file)
+
+    return rows.mapInArrow(run, "part int, nth int, file string, records long, ids long")
 
 
 def read_index(folder: str, file: str, low: int = 0, high: int | None = None) -> np.ndarray:
@@ -165,7 +185,7 @@ def read_records(manifest: DataFrame, folder: str, with_ids: bool = False) -> Da
     input_ids array<int> if ``with_ids``. The prefix sum over files has a row a
     file; records take theirs from the index.
     """
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
         .withColumn("low", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(_READ))))
@@ -181,16 +201,21 @@ def read_records(manifest: DataFrame, folder: str, with_ids: bool = False) -> Da
                 index = read_index(folder, row["file"], row["low"], row["high"])
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 keys, sizes, crcs, every = [], [], [], []
+                at = index[:, 0]
                 with system.open_input_file(f"{path}/{row['file']}.rec") as f:
-                    origin = int(index[0, 0])
-                    data, at = f.read_at(int(index[-1, 0]) - origin, origin), 0
-                while at < len(data):
-                    payload, at = unframe(data, at)
-                    key, ids = unpack(payload)
-                    keys.append(key)
-                    sizes.append(len(ids))
-                    crcs.append(zlib.crc32(ids))
-                    every.append(ids)
+                    low = 0
+                    while low < len(at) - 1:
+                        high = max(low + 1, int(np.searchsorted(at, at[low] + READ_BYTES, "right")) - 1)
+                        data, spot = f.read_at(int(at[high] - at[low]), int(at[low])), 0
+                        while spot < len(data):
+                            payload, spot = unframe(data, spot)
+                            key, ids = unpack(payload)
+                            keys.append(key)
+                            sizes.append(len(ids))
+                            crcs.append(zlib.crc32(ids))
+                            if with_ids:
+                                every.append(ids)
+                        low = high
                 out = [pa.array(keys, pa.int64()), pa.array(index[:-1, 2] + row["base"]), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(every).astype(np.int32))))

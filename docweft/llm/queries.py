@@ -28,7 +28,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return op02_sentencepiece.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+    return op02_sentencepiece.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"), with_text=True)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Tables that cut lineage: parquet in the folder that the cluster shares.
 
 ``spark.checkpoint.dir`` names that folder and is read from the session. Only
-where it is unset (tests, a laptop) a folder is made, and set, here.
+where it is unset and all runs in one process (``local`` masters: tests, a
+laptop) a folder is made, and set, here; a cluster must name one. Tables go when
+nothing reads them any more (``drop``), all others when the application ends.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ def shared_root(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docweft-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -30,7 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/docweft/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._bound = 0, False
 
     def place(self, name: str) -> str:
         self._n += 1
@@ -40,6 +45,8 @@ class Scratch:
         """Write ``df`` and read it back: its lineage ends here, and losing an executor loses nothing."""
         at = self.place(name)
         df.write.option("compression", "zstd").parquet(at)
+        if not self._bound:
+            self._bound = self._system(self.path).deleteOnExit(self._path(self.path))
         back = self.spark.read.schema(df.schema).parquet(at)
         back._docweft_place = at
         return back
@@ -51,5 +58,10 @@ class Scratch:
             self.delete(at)
 
     def delete(self, at: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._system(at).delete(self._path(at), True)
+
+    def _path(self, at: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(at)
+
+    def _system(self, at: str):
+        return self._path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())

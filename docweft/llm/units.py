@@ -3,18 +3,23 @@
 A unit is a run of separators with the bytes up to the next run. When no token
 and no pre-token can reach over a unit's end, a text's ids are its units' ids
 in order; natural text repeats its units, so each distinct one goes through the
-library once a table and its ids are kept under its 64-bit hash.
+library once a table and its ids are kept under its 64-bit hash, beside the
+unit's bytes. A hit counts only if the bytes are the same; a text with a unit
+whose hash another one has goes through the library whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 
-from docweft.llm.words import Texts, Words, word_hashes
+from docweft.llm.words import _KEEP, Texts, Words, blocks, word_hashes
 
 U64 = np.uint64
+#: Simple units that are joined to one string; the library's threads share the strings of a call.
+JOINED = 250
 
 
 class HashTable:
@@ -88,17 +93,42 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
+        rows = 1 << self.bits - 1
         self.table = HashTable(self.bits)
-        self.at = np.zeros((1 << self.bits - 1) + 1, np.int64)
+        self.at = np.zeros(rows + 1, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _store(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        rows = self.table.add(keys)
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[rows + 1] = self.used + np.cumsum(lengths)
-        self.used += len(ids)
+        # The units themselves: twice the size and whether it is a text's first, the first 16 bytes, and the bytes of longer ones.
+        self.shape, self.heads, self.long = np.zeros(rows, np.int64), np.zeros((rows, 2), U64), {}
+
+    def _look(self, texts: Texts, units: Words, first: np.ndarray, places) -> tuple[np.ndarray, np.ndarray]:
+        """(shape, heads) of some units."""
+        start, size = units.start[places], (units.end - units.start)[places]
+        wide = blocks(texts.data)
+        heads = np.stack([wide[start] & _KEEP[np.minimum(size, 8)], wide[start + 8] & _KEEP[np.clip(size - 8, 0, 8)]], axis=1)
+        return 2 * size + first[places] if self.marks_first else 2 * size, heads
+
+    def _same(self, texts: Texts, units: Words, first: np.ndarray, rows: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Which units are, byte for byte, those of the rows found for them."""
+        shape, heads = self._look(texts, units, first, slice(None))
+        same = (rows >= 0) & (self.shape[rows] == shape) & (self.heads[rows] == heads).all(axis=1)
+        for i in np.flatnonzero(same & live & (shape > 33)).tolist():
+            same[i] = self.long[int(rows[i])] == texts.data[units.start[i] : units.end[i]].tobytes()
+        return same
+
+    def _ids(self, spelled: list[str], simple: np.ndarray) -> list[np.ndarray]:
+        out: list = [None] * len(spelled)
+        easy = np.flatnonzero(simple)
+        groups = [easy[low : low + JOINED].tolist() for low in range(0, len(easy), JOINED)]
+        for own, found in zip(groups, self.encode_strings(["".join([spelled[i] for i in g]) for g in groups]) if groups else [], strict=True):
+            ids = np.array(found, np.uint32)
+            heads = np.flatnonzero(self.opens[ids])
+            if len(heads) == len(own) and heads[0] == 0:
+                for i, part in zip(own, np.split(ids, heads[1:]), strict=True):
+                    out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, self.encode_strings([spelled[i] for i in rest]) if rest else [], strict=True):
+            out[i] = np.array(found, np.uint32)
+        return out
 
     def _learn(self, texts: Texts, units: Words, first: np.ndarray, keys: np.ndarray, places: np.ndarray) -> None:
         start, end = units.start[places], units.end[places]
@@ -106,21 +136,17 @@ class UnitEncoder:
         simple = (texts.data[start] == 0x20) & (end - start > 1) & ~self.separator[after] & ~first[places]
         if self.opens is None:
             simple[:] = False
-        spelled = [self.spell(texts.data[s:e].tobytes(), f) for s, e, f in zip(start.tolist(), end.tolist(), first[places].tolist(), strict=True)]
-        easy = np.flatnonzero(simple)
-        for low in range(0, len(easy), 2000):
-            own = easy[low : low + 2000]
-            ids = np.array(self.encode_strings(["".join([spelled[i] for i in own])])[0], np.uint32)
-            heads = np.flatnonzero(self.opens[ids])
-            if len(heads) == len(own) and heads[0] == 0:
-                self._store(keys[own], ids, np.diff(heads, append=len(ids)))
-            else:
-                simple[own] = False
-        own = np.flatnonzero(~simple)
-        found = self.encode_strings([spelled[i] for i in own]) if len(own) else []
-        if len(own):
-            lengths = np.array([len(x) for x in found])
-            self._store(keys[own], np.array([y for x in found for y in x], np.uint32), lengths)
+        raw = [texts.data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        found = self._ids([self.spell(x, f) for x, f in zip(raw, first[places].tolist(), strict=True)], simple)
+        ids, lengths = np.concatenate(found), np.array([len(x) for x in found])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        rows = self.table.add(keys)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[rows + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.shape[rows], self.heads[rows] = self._look(texts, units, first, places)
+        self.long |= {int(r): x for r, x in zip(rows, raw, strict=True) if len(x) > 16}
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) and the bounds of each text's among them."""
@@ -157,6 +183,10 @@ class UnitEncoder:
                     return self._undivided(texts)
             self._learn(texts, units, first, new, places)
             rows = self.table.find(keys)
+        met = live & ~self._same(texts, units, first, rows, live)
+        if met.any():  # two units of one hash
+            odd[np.searchsorted(of, np.flatnonzero(met), "right") - 1] = True
+            live &= ~met
         rows = np.where(live, rows, 0)
         lengths = np.where(live, self.at[rows + 1] - self.at[rows], 0)
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -186,11 +216,11 @@ def has_wide_blanks(texts: Texts) -> np.ndarray:
     return out
 
 
-def byte_level(path: str) -> UnitEncoder:
-    """A byte-level BPE in the library's JSON form; special tokens' strings in a text are ordinary text."""
+def byte_level(file: str | bytes) -> UnitEncoder:
+    """A byte-level BPE from a file in the library's JSON form, by path or as bytes; special tokens' strings in a text are ordinary text."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str((file if isinstance(file, bytes) else Path(file).read_bytes()).decode())
     tokenizer.encode_special_tokens = True
     size = tokenizer.get_vocab_size()
     opens = np.zeros(size, bool)

@@ -1,9 +1,10 @@
 """Vectorised word kernels over Arrow text buffers.
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``; in UTF-8 that is
-the pattern ``[^\\x20\\x09-\\x0D]+`` over characters. Hashes are 64-bit: a
-polynomial over the bytes of each word, finalised by a non-linear mix, so that
-sums over several words do not cancel.
+the pattern ``[^\\x20\\x09-\\x0D]+`` over characters. Hashes are 64-bit and
+chained: every eight bytes of a word, and every pair of halves of a run of words,
+go through a non-linear mix, so no algebra makes different words meet. Where a
+result depends on equality, operators compare bytes or 128-bit digests of them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -33,27 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(10, (n - 1).bit_length())
-            self.up, self.down = np.ones(size + 1, U64), np.ones(size + 1, U64)
-            np.cumprod(np.full(size, self.base, U64), out=self.up[1:])
-            np.cumprod(np.full(size, self.inverse, U64), out=self.down[1:])
-        return self.up, self.down
-
-
-_BYTES = Powers(0x9E3779B97F4A7C15)
-_RUNS = (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
-_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x632BE59BD9B4E019))
-_CODE_LOWER = _CODE.copy()
-_CODE_LOWER[0x41:0x5B] = _CODE[0x61:0x7B]
+#: Words of over this many bytes are hashed by the xxhash library, one call each.
+_LONG = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)  # the first n bytes of a block
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
 @dataclass
@@ -128,25 +114,48 @@ def split(texts: Texts) -> Words:
     return Words(start, end, np.searchsorted(start, texts.at))
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer, zeros after the end; 16 places more than there are bytes."""
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    return np.ndarray((len(data) + 16,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(texts: Texts, words: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; ``lower`` folds A-Z only."""
     if not len(words):
         return np.zeros(0, U64)
-    up, down = _BYTES.upto(len(texts.data) + 1)
-    sums = np.zeros(len(texts.data) + 1, U64)
-    np.cumsum((_CODE_LOWER if lower else _CODE)[texts.data] * up[: len(texts.data)], out=sums[1:])
-    value = (sums[words.end] - sums[words.start]) * down[words.start]
-    return mix(value + (words.end - words.start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-
-
-def run_hashes(hashes: np.ndarray, first: np.ndarray, length, which: int = 0) -> np.ndarray:
-    """A hash of the runs of words [first, first + length); ``which`` picks an independent family."""
-    up, down = _RUNS[which].upto(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    own = mix(hashes + U64(0x2545F4914F6CDD1D)) if which else hashes
-    np.cumsum(own * up[: len(hashes)], out=sums[1:])
+    data = _LOWER[texts.data] if lower else texts.data
+    wide, size = blocks(data), words.end - words.start
+    value = size.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(0x27D4EB2F165667C5)
+    left, at = np.arange(len(size)), 0
+    while len(left):
+        block = wide[words.start[left] + at] & _KEEP[np.minimum(size[left] - at, 8)]
+        value[left] = mix(value[left] * U64(0x9E3779B97F4A7C15) + mix(block + U64(0xD6E8FEB86659FD93)))
+        at += 8
+        left = left[(size[left] > at) & (size[left] <= _LONG)]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[words.start[i] : words.end[i]].tobytes())
+    return value
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, length) -> np.ndarray:
+    """A hash of the runs of words [first, first + length).
+
+    Runs of 1, 2, 4, ... words are hashed from two halves each; any run is two
+    such, the second ending with it, and its length.
+    """
     first = np.asarray(first)
-    return mix((sums[first + length] - sums[first]) * down[first] + np.asarray(length).astype(U64) * U64(0x165667B19E3779F9))
+    length = np.broadcast_to(np.asarray(length, np.int64), first.shape)
+    out, own, half = np.zeros(len(first), U64), hashes, 1
+    most = int(length.max()) if len(first) else 0
+    while half <= most:
+        here = slice(None) if half <= int(length.min()) and most < 2 * half else np.flatnonzero((length >= half) & (length < 2 * half))
+        a, n = first[here], length[here]
+        out[here] = mix(own[a] * U64(0xA0761D6478BD642F) + own[a + n - half] + n.astype(U64) * U64(0x165667B19E3779F9))
+        if 2 * half <= most:
+            own = mix(own[:-half] * U64(0xE7037ED1A0B428DB) + own[half:])
+        half *= 2
+    return out
 
 
 def run_starts(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
