@@ -9,37 +9,42 @@ standard deviations) go; all others are confirmed on the full sets of the two
 texts. At a similarity of 0.8 a pair shares no bucket once in 20,000, and the
 estimate drops it once in a million.
 
-Documents with equal sets are one class from the start. Buckets are compared in
-two rounds, so that groups of near copies never yield all their pairs: first
-every document with one pivot of its buckets (a bucket's pivot is the member
-with most company over all its buckets; the original of a group of edited copies
-has most); then, after components, the members that the pivot's component left
-out with the members of other components, in blocks that send back links only. No candidate pair is dropped: a pair is either compared or
-already known to be connected.
+Documents with the same words in the same order (BLAKE2 digests of them, 128
+bits) are one class from the start; every other link is confirmed on the sets of
+words themselves. Buckets are compared in two rounds, so that groups of near
+copies never yield all their pairs: first every class with one pivot of its
+buckets (a bucket's pivot is the member with most company over all its buckets;
+the original of a group of edited copies has most); then, after components, the
+strays, members that the pivot's component left out, with all members of other
+components, in blocks that send back links only. No candidate pair is dropped: a
+pair is either compared or already known to be connected.
 
 Scale: one narrow pass over the texts makes rows of about 300 bytes; buckets,
 counts, pivots and estimates are DataFrame operations on those (bit_count, no
-Python); texts are shuffled only for documents with candidates left.
+Python); texts are shuffled only for documents with candidates left. What a
+bucket is joined with is written first, so that both sides of such a join are
+plain shuffles and adaptive execution may split a hot bucket.
 
 Defined cases: null text, empty text and text without words have an empty set,
 link with nothing and are kept; fewer words than a shingle are one shingle of
 all words; null ids are left out; rows that repeat an id are one document that
 has every row's links and the largest of their set sizes; an empty table gives
-no rows; other columns are not read.
+no rows; other columns are not read, and kept by ``deduplicated`` whatever their
+names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.components import components
-from docweft.llm.op03_embedding_dedup import _forest
 from docweft.llm.scratch import Scratch
 from docweft.llm.words import Texts, mix, run_hashes, slices, split, views, word_hashes
 
@@ -103,11 +108,16 @@ def _sets(texts: Texts, words: int) -> Iterator[np.ndarray]:
 
 def _print(own: np.ndarray) -> bytes | None:
     """The fingerprint of a set, none of an empty one."""
-    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def _folded(raw: bytes) -> list[bytes]:
+    """The words, A-Z folded."""
+    return raw.translate(_LOWER).split()
 
 
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(id, n, fp binary, bands array<long>, sig array<long>): n is the size of the set; the rest is null for an empty one."""
+    """(id, n, fp binary, bands array<long>, sig array<long>): n is the size of the set, fp a digest of the words in order; null for an empty one, as the rest."""
     rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +127,14 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
         for batch in slices(batches, "_text"):
             texts = views(batch.column("_text"))
             sizes, fps, bands, sigs = [], [], [], []
-            for own in _sets(texts, words):
+            for i, own in enumerate(_sets(texts, words)):
                 sizes.append(len(own))
                 if not len(own):
                     fps.append(None)
                     bands.append(None)
                     sigs.append(None)
                     continue
-                fps.append(_print(own))
+                fps.append(hashlib.blake2b(b" ".join(_folded(texts.text(i))), digest_size=16).digest())
                 low = minima((own >> np.uint64(32)).astype(np.uint32), flips, factors)
                 wide = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 bands.append(mix(mix((wide * powers).sum(axis=1, dtype=np.uint64)) + order).view(np.int64))
@@ -136,7 +146,7 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
 
 def shingle_set(raw: str | None, words: int) -> frozenset:
     """The set itself, as tuples of byte strings."""
-    own = (raw or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    own = _folded((raw or "").encode("utf-8", "surrogatepass"))
     if len(own) <= words:
         return frozenset([tuple(own)] if own else [])
     return frozenset(zip(*(own[i:] for i in range(words)), strict=False))
@@ -162,8 +172,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: st
                 if held[0] != (b, tb):
                     held = ((b, tb), shingle_set(tb, words))
                 x, y = shingle_set(batch.column("_ta")[i].as_py(), words), held[1]
-                shared = len(x & y)
-                if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
+                if enough(x, y, percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -210,8 +219,31 @@ class Cell:
         return left, right, live
 
 
+def enough(x: frozenset, y: frozenset, percent: int) -> bool:
+    shared = len(x & y)
+    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, n: int, same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of the links proposed among n places, those that hold and join something new."""
+    root, kept = list(range(n)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y and same(i, j):
+            root[max(x, y)] = min(x, y)
+            kept.append((i, j))
+    return kept
+
+
 def overlaps(raw: list[str], words: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(size of each text's set, intersections of left with right) over full sets, by products of incidence matrices."""
+    """(size of each text's set, intersections of left with right) by hashes of shingles, as products of incidence matrices."""
     texts = views(pa.array(raw, pa.large_string()))
     found = split(texts)
     hashes = word_hashes(texts, found, lower=True)
@@ -265,17 +297,26 @@ def _cells(rows: DataFrame, work, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def second_round(placed: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str, scratch: Scratch) -> DataFrame:
+def second_round(placed: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str, scratch: Scratch) -> DataFrame:
     """Links (a, b) between members of one bucket in different parts: a spanning forest of each unit of work.
 
-    placed: bucket, id, sig, part. A bucket is cut into blocks of BLOCK members,
-    and pairs of blocks are the units. Signatures go first; texts follow only for
-    members with a candidate left, and a unit compares them as matrices.
+    placed: bucket, fp, id, sig, part, main (the pivot's part). A bucket's strays
+    and the rest are cut into blocks of BLOCK members; a unit is a block of strays
+    with itself, a later one or a block of the rest. Signatures go first; texts
+    follow only for members with a candidate left. A unit proposes links by
+    matrices of hashes and confirms those it sends back on the sets themselves.
     """
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    rows = placed.select("bucket", "id", "part", "sig").join(sizes, "bucket").join(sets, "id")
-    rows = rows.withColumn("me", F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), (F.col("me") > F.col("other")).cast("int").alias("side"), "id", "part", "sig", "bands")
+    stray = F.col("part") != F.col("main")
+    many = lambda c: F.ceil(F.sum(c.cast("int")) / BLOCK).cast("int")
+    sizes = scratch.keep(placed.groupBy("bucket").agg(many(stray).alias("ns"), many(~stray).alias("nm")).where("ns > 0"), "sizes")
+    rows = placed.join(sizes, "bucket").join(reps.select("fp", "bands"), "fp")
+    rows = rows.withColumn("me", F.pmod(F.xxhash64("fp", F.lit(3)), F.when(stray, F.col("ns")).otherwise(F.col("nm"))).cast("int"))
+    unit = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    ahead = F.transform(F.sequence(F.col("me"), F.col("ns") + F.col("nm") - 1), lambda j: unit(F.col("me"), j, 0))
+    behind = F.transform(F.filter(F.sequence(F.lit(0), F.col("me")), lambda i: i < F.col("me")), lambda i: unit(i, F.col("me"), 1))
+    against = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda i: unit(i, F.col("ns") + F.col("me"), 1))
+    rows = rows.withColumn("unit", F.explode(F.when(stray, F.concat(ahead, behind)).otherwise(against)))
+    rows = rows.select("bucket", "unit.i", "unit.j", "unit.side", "id", "part", "sig", "bands")
 
     def screen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         left, right, live = Cell(rows, percent).pairs()
@@ -293,8 +334,16 @@ def second_round(placed: DataFrame, sets: DataFrame, docs: DataFrame, words: int
         if not live.any():
             return
         size, shared = overlaps(rows.column("_text").to_pylist(), words, left, right)
-        a, b = np.nonzero(live & (shared > 0) & (100 * shared.astype(np.int64) >= percent * (size[left][:, None] + size[right][None, :] - shared.astype(np.int64))))
-        forest = _forest(left[a], right[b], len(cell.ids))
+        # Two hashes that meet would shift a count by one; the sets decide.
+        likely = 100 * (shared.astype(np.int64) + 2) >= percent * (size[left][:, None] + size[right][None, :] - shared.astype(np.int64) - 2)
+        a, b = np.nonzero(live & (shared > 0) & likely)
+        raw = rows.column("_text")
+
+        @functools.lru_cache(64)
+        def own(i: int) -> frozenset:
+            return shingle_set(raw[i].as_py(), words)
+
+        forest = _linked(left[a], right[b], len(cell.ids), lambda i, j: enough(own(i), own(j), percent))
         if forest:
             x, y = np.array(forest).T
             yield pa.RecordBatch.from_arrays([pa.array(cell.ids[x]), pa.array(cell.ids[y])], names=["a", "b"])
@@ -307,36 +356,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     scratch = Scratch(docs.sparkSession, "minhash")
     every = scratch.keep(signatures(docs, words, key, text), "signatures") if every is None else every
     live = every.where("fp is not null")
-    # Rows with equal sets, or with one id, are connected: a class is named by its least id.
-    by_set = live.groupBy("fp").agg(F.min("id").alias("rep"))
-    reps = scratch.keep(live.groupBy("fp").agg(F.min_by(F.struct("bands", "sig"), "id").alias("x"), F.min("id").alias("rep")).select("rep", "x.bands", "x.sig"), "classes")
+    # Rows of the same words, or of one id, are connected: a class (fp) is named by its least id.
+    reps = scratch.keep(live.groupBy("fp").agg(F.min_by(F.struct("bands", "sig"), "id").alias("x"), F.min("id").alias("rep")).select("fp", "rep", "x.bands", "x.sig"), "classes")
     floor = percent / 100.0 - SLACK
 
-    rows = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = reps.select("fp", F.col("rep").alias("id"), "sig", F.explode("bands").alias("bucket"))
+    counts = scratch.keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     shared = scratch.keep(rows.join(counts, "bucket"), "buckets")
-    company = shared.groupBy("id").agg(F.sum("m").alias("company"))
-    sigs = reps.select(F.col("rep").alias("id"), "sig").groupBy("id").agg(F.min("sig").alias("sig"))
-    member = scratch.keep(shared.select("id", "bucket").join(company.join(sigs, "id"), "id"), "members")
-    pivots = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("id"), "sig")).alias("p")).select("bucket", (-F.col("p.id")).alias("pivot"), F.col("p.company").alias("pivot_company"), F.col("p.sig").alias("pivot_sig"))
+    company = shared.groupBy("fp").agg(F.sum("m").alias("company"))
+    member = scratch.keep(shared.drop("m").join(company, "fp"), "members")
+    scratch.drop(shared)
+    pivots = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("id"), "sig")).alias("p"))
+    pivots = scratch.keep(pivots.select("bucket", (-F.col("p.id")).alias("pivot"), F.col("p.company").alias("pivot_company"), F.col("p.sig").alias("pivot_sig")), "pivots")
     # Each member meets one pivot here: a likely one with most company, so that groups hang on few.
     agree = estimate(F.col("sig"), F.col("pivot_sig"))
-    met = member.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).select("id", "pivot", "pivot_company", agree.alias("agree")).where(F.col("agree") >= floor)
-    best = met.groupBy("id").agg(F.max(F.struct(F.col("agree") >= percent / 100.0, "pivot_company", (-F.col("pivot")).alias("pivot"))).alias("p"))
-    first = scratch.keep(best.select(F.col("id").alias("a"), (-F.col("p.pivot")).alias("b")), "first")
+    met = member.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).select("fp", "id", "pivot", "pivot_company", agree.alias("agree")).where(F.col("agree") >= floor)
+    best = met.groupBy("fp", "id").agg(F.max(F.struct(F.col("agree") >= percent / 100.0, "pivot_company", (-F.col("pivot")).alias("pivot"))).alias("p"))
+    first = scratch.keep(best.select(F.col("id").alias("a"), (-F.col("p.pivot")).alias("b")).distinct(), "first")
     links = scratch.keep(confirm(first, docs, words, percent, key, text), "links")
     part = scratch.keep(components(links, scratch), "parts")
 
+    main = pivots.select("bucket", F.col("pivot").alias("id")).join(part.withColumnRenamed("node", "id"), "id", "left")
+    main = scratch.keep(main.select("bucket", F.coalesce("component", "id").alias("main")), "main")
     placed = member.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component", "company")
-    main = pivots.select("bucket", F.col("pivot").alias("id")).join(part.withColumnRenamed("node", "id"), "id", "left").select("bucket", F.coalesce("component", "id").alias("main"))
     placed = scratch.keep(placed.join(main, "bucket"), "placed")
-    mixed = placed.where("part <> main").select("bucket").distinct()
-    if not mixed.isEmpty():
-        sets = reps.select(F.col("rep").alias("id"), "bands").groupBy("id").agg(F.min("bands").alias("bands"))
-        more = second_round(placed.join(mixed, "bucket"), sets, docs, words, percent, key, text, scratch)
+    if not placed.where("part <> main").isEmpty():
+        more = second_round(placed, reps, docs, words, percent, key, text, scratch)
         links = links.unionByName(scratch.keep(more, "more"))
     # An id with rows of different sets ties their classes together.
-    named = scratch.keep(live.join(by_set.select("fp", "rep"), "fp").groupBy("id").agg(F.collect_set("rep").alias("reps"), F.max("n").alias("n")), "named")
+    named = scratch.keep(live.select("fp", "id", "n").join(reps.select("fp", "rep"), "fp").groupBy("id").agg(F.collect_set("rep").alias("reps"), F.max("n").alias("n")), "named")
     ties = named.where(F.size("reps") > 1).select(F.col("id").alias("a"), F.explode("reps").alias("b"))
     of = components(links.unionByName(ties), scratch)
     empty = every.groupBy("id").agg(F.max("n").alias("n")).where("n = 0").select("id", F.lit(None).cast("long").alias("rep"), "n")
@@ -345,40 +393,41 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return final.withColumn("kept", F.col(key) == F.col("component_id"))
 
 
-def _single(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(_row struct, fp): the least row, as JSON, of each key and set; rows without words are equal if their texts are."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+def _single(rows: DataFrame, words: int) -> DataFrame:
+    """The least row, as JSON, of each key and set of rows (row struct, key, text); rows without words are equal if their texts are."""
     schema = rows.withColumn("fp", F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            fps = [_print(own) for own in _sets(views(batch.column("_text")), words)]
+        for batch in slices(batches, "text"):
+            fps = [_print(own) for own in _sets(views(batch.column("text")), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "fp"])
 
-    wordless = F.when(F.col("fp").isNull(), F.col("_text"))
-    return rows.mapInArrow(run, schema).groupBy("_key", "fp", wordless.alias("_text")).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row", "fp")
+    wordless = F.when(F.col("fp").isNull(), F.col("text"))
+    return rows.mapInArrow(run, schema).groupBy("key", "fp", wordless.alias("text")).agg(F.min_by("row", F.to_json("row")).alias("row"))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", nulls: bool = False) -> DataFrame:
     """``docs`` without the documents that are in the group of one with a smaller id, and one row of each id and set.
 
-    Rows with a null id stay, one of each set; with ``nulls`` only those of sets
-    that no row with an id has.
+    Rows with a null id stay, one of each set; with ``nulls`` those of equal text
+    are a document whose id is above 2**62, so that any other of its group stays.
     """
     scratch = Scratch(docs.sparkSession, "deduplicated")
-    every = scratch.keep(signatures(docs, words, key, text), "signatures")
-    own = F.col(f"`{key}`").cast("long")
-    gone = scratch.keep(near_duplicates(docs, words, percent, key, text, every).where("not kept").select(F.col(key).alias("_gone")), "gone")
-    again = scratch.keep(every.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("_gone")).distinct(), "again")
-    bare = docs.where(F.col(f"`{key}`").isNull())
+    own, body = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")
+    if nulls:
+        own = F.coalesce(own, F.shiftrightunsigned(F.xxhash64(body), 2) + F.lit(1 << 62))
+    # Columns travel under their places, so no name of theirs can clash.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], own.alias("key"), body.alias("text"))
+    every = scratch.keep(signatures(rows, words, "key", "text"), "signatures")
+    gone = scratch.keep(near_duplicates(rows, words, percent, "key", "text", every).where("not kept").select(F.col("key").alias("gone")), "gone")
+    again = scratch.keep(every.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("gone")), "again")
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    packed = F.struct(*places).alias("row")
     # Merges at any size: the documents that go grow with the corpus.
-    out = docs.where(F.col(f"`{key}`").isNotNull()).join(gone.unionByName(again).hint("merge"), own == F.col("_gone"), "left_anti")
+    out = rows.where("key is not null").join(gone.unionByName(again).hint("merge"), F.col("key") == F.col("gone"), "left_anti").select(*places)
     if not again.isEmpty():
-        rows = docs.join(again.join(gone, "_gone", "left_anti").hint("merge"), own == F.col("_gone"), "left_semi")
-        out = out.unionByName(_single(rows, words, key, text).select("_row.*"))
-    if not bare.isEmpty():
-        rows = _single(bare, words, key, text)
-        if nulls:
-            rows = rows.join(every.select("fp").distinct().hint("merge"), "fp", "left_anti")
-        out = out.unionByName(rows.select("_row.*"))
-    return out
+        more = rows.join(again.join(gone, "gone", "left_anti").hint("merge"), F.col("key") == F.col("gone"), "left_semi")
+        out = out.unionByName(_single(more.select(packed, "key", "text"), words).select("row.*"))
+    if not nulls and not docs.where(F.col(f"`{key}`").isNull()).isEmpty():
+        out = out.unionByName(_single(rows.where("key is null").select(packed, "key", "text"), words).select("row.*"))
+    return out.select(*[F.col(c).alias(name) for c, name in zip(places, docs.columns, strict=True)])

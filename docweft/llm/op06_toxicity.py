@@ -15,7 +15,7 @@ teaches with the windows that score highest, a clean one with those that do too.
 Scale: one narrow pass without shuffle; tasks receive the weights, about 2 MB
 whatever the corpus. A worker computes a word's input once a table and runs
 windows in batches of a fixed number, so memory does not grow with a text. The fit
-uses at most ROWS labelled documents of each class.
+uses at most ROWS labelled documents of each class, whole texts.
 
 Defined cases: null, empty and wordless text is one window of no tokens and
 scores 0; null ids are scored, held_out is null for them; repeated rows score
@@ -42,7 +42,7 @@ ROWS = 1500
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIMS, CHAR_DIMS = 8, 8, 8
 CHAR_BITS, GRAMS, LONGEST = 14, (3, 4, 5), 40
-OFTEN, MOST_WORDS = 12, 20_000
+OFTEN = 12
 SEED = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -218,6 +218,11 @@ def _grid(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, first + time, 0), mask
 
 
+def _gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the values of each of n rows."""
+    return np.stack([np.bincount(rows, v, n) for v in values.T], axis=1).astype(np.float32)
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128, steps: int = 250) -> Net:
     """The network fitted to documents and their labels; small samples are gone over until ``steps`` steps are made."""
     if len(np.unique(y)) < 2:
@@ -228,7 +233,6 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128,
     words = tokens(joined)
     keys, place, token, seen = np.unique(word_hashes(joined, words, lower=True), return_index=True, return_inverse=True, return_counts=True)
     often = np.flatnonzero(seen >= OFTEN)
-    often = np.sort(often[np.argsort(-seen[often], kind="stable")][:MOST_WORDS])
     row = np.full(len(keys), len(often))
     row[often] = np.arange(len(often))
     bucket, of = grams(joined.data, words.start[place], words.end[place])
@@ -248,8 +252,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128,
         ends = np.cumsum(lengths)
         flat = bucket[np.repeat(at[own] - ends + lengths, lengths) + np.arange(ends[-1])]
         to = np.repeat(np.arange(len(own)), lengths)
-        char = np.zeros((len(own), CHAR_DIMS), np.float32)
-        np.add.at(char, to, p["char"][flat])
+        char = np.add.reduceat(p["char"][flat], ends - lengths, axis=0)  # every token has an n-gram
         vec = np.concatenate([p["word"][row[own]], char / number[own][:, None]], axis=1)
         return vec[inverse.reshape(grid.shape)], own, inverse.reshape(grid.shape), flat, to
 
@@ -259,13 +262,10 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128,
         grid, mask = _grid(first[pick], size[pick])
         x, own, inverse, flat, to = inputs(grid)
         g, d_x, loss = gradients(p, x, mask, y[text[pick]].astype(np.float32))
-        d_vec = np.zeros((len(own), x.shape[2]), np.float32)
-        np.add.at(d_vec, inverse[mask], d_x[mask])
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], row[own], d_vec[:, :WORD_DIMS])
+        d_vec = _gathered(inverse[mask], d_x[mask], len(own))
+        g["word"] = _gathered(row[own], d_vec[:, :WORD_DIMS], len(p["word"]))
         g["word"][-1] = 0  # unknown words have no vector of their own
-        g["char"] = np.zeros_like(p["char"])
-        np.add.at(g["char"], flat, (d_vec[:, WORD_DIMS:] / number[own][:, None])[to])
+        g["char"] = _gathered(flat, (d_vec[:, WORD_DIMS:] / number[own][:, None])[to], len(p["char"]))
         for k, d in g.items():
             m, v = moment[k]
             m += 0.1 * (d - m)
@@ -284,7 +284,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 128,
     epochs = max(epochs, min(80, int(-(-steps * batch // max(about, batch)))))
     for epoch in range(epochs):
         if epoch == 0:
-            pick = rng.permutation(len(text))[:12_000]
+            pick = rng.permutation(len(text))
         else:
             order = np.lexsort((-score_all(), text))
             rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
@@ -357,7 +357,7 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = ROWS, key: str = "doc_id", text: str = "text") -> Net:
-    sample = labelled(docs, labels, label, learn, rows, key, text)
+    sample, _ = labelled(docs, labels, label, learn, rows, key, text)
     return train([(x or "").encode("utf-8", "replace") for x in sample.column("text").to_pylist()], np.array(sample.column("y").to_pylist(), np.int64))
 
 

@@ -7,13 +7,15 @@ one fingerprint for 14 windows. The index keeps sorted immutable runs of
 (fingerprint, count). Each batch of documents is merge-joined with the runs of
 the batches before it: fingerprints seen before, or twice in the batch, are
 hits. Then it becomes a run itself; runs of one level are compacted into one of
-the next when FANOUT of them have gathered.
+the next when FANOUT of them have gathered. An index of an earlier run can be
+opened again by its folder.
 
 Hits are verified on whole windows. A stretch is the words of all consecutive
-windows with one fingerprint: if its hash recurs, all its windows do. Stretches
+windows with one fingerprint: if its words recur, all its windows do. Stretches
 that differ under one fingerprint (where copies begin, end or were edited) send
-one representative each, and their windows are compared one by one by 128-bit
-hashes, with the number of places each stands for.
+one representative each, and their windows are compared one by one, with the
+number of places each stands for. Words are the same where BLAKE2 digests (128
+bits) of their bytes, joined by single spaces, are; 64-bit hashes only propose.
 
 Scale: a row a stretch in the index passes, and only hits after them. The group
 of a passage that a third of the documents share is pre-aggregated to its
@@ -22,34 +24,34 @@ compressed; a task holds about 1 MB of text and one document's windows.
 
 Defined cases: null and empty text has no words; texts shorter than a window
 lose nothing; overlapping occurrences within a document count; a row is known by
-its id and its text, so repeated rows repeat each other's windows and lose them;
-null ids are ids; an empty table gives no rows; other columns are kept only by
-``cleaned``.
+its id and 128 bits of its text's SHA-256, so repeated rows repeat each other's
+windows and lose them; null ids are ids; an empty table gives no rows; other
+columns are kept only by ``cleaned``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.scratch import Scratch
 from docweft.llm.words import Texts, Words, run_hashes, slices, split, views, word_hashes
 
-LENGTH, ANCHOR, FANOUT = 50, 8, 4
+LENGTH, ANCHOR, FANOUT = 50, 8, 2
 NO_ID = -(1 << 63)
 
 
 def stretches(texts: Texts, words: Words, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, fingerprint, hash) of every stretch."""
+    """(text, first window, windows, fingerprint) of every stretch."""
     anchor = min(ANCHOR, length)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     if len(words) < length:
         return none
     hashes = word_hashes(texts, words)
@@ -63,50 +65,75 @@ def stretches(texts: Texts, words: Words, length: int) -> tuple[np.ndarray, ...]
     at, text = least[inside], doc[inside]
     cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     first, count = inside[cut], np.diff(np.append(cut, len(inside)))
-    own = run_hashes(hashes, first, count + (length - 1)) + (at[cut] - first).astype(np.uint64)
-    return text[cut], first - words.of[text[cut]], count, grams[at[cut]], own
+    return text[cut], first - words.of[text[cut]], count, grams[at[cut]]
+
+
+def digests(texts: Texts, words: Words, first: np.ndarray, count) -> list[bytes]:
+    """128 bits of the words [first, first + count), joined by single spaces."""
+    if not len(first):
+        return []
+    data, last = texts.data, first + count - 1
+    plain = np.ones(len(words), bool)
+    plain[:-1] = (words.start[1:] - words.end[:-1] == 1) & (data[np.minimum(words.end[:-1], len(data) - 1)] == 0x20)
+    odd = np.concatenate([[0], np.cumsum(~plain)])
+    raw = data.tobytes()
+    return [
+        hashlib.blake2b(x if own else b" ".join(x.split()), digest_size=16).digest()
+        for x, own in zip((raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)), (odd[last] == odd[first]).tolist(), strict=True)
+    ]
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("_text"))
 
 
-def _keys(batch: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.asarray(batch.column("id").fill_null(NO_ID), np.int64)
-    return ids, np.array([xxhash.xxh3_64_intdigest(texts.text(i)) & 0x7FFFFFFF for i in range(len(texts))], np.int32)
+def _keys(batch: pa.RecordBatch, texts: Texts) -> tuple[pa.Array, pa.Array]:
+    """k1, k2 of each row: its id, and half of its text's SHA-256 (as ``_key_columns``)."""
+    return batch.column("id").fill_null(NO_ID), pa.array([hashlib.sha256(texts.text(i)).digest()[:16] for i in range(len(texts))], pa.binary())
+
+
+def _key_columns(key: Column, text: Column) -> tuple[Column, Column]:
+    return F.coalesce(key.cast("long"), F.lit(NO_ID)), F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def fingerprints(rows: DataFrame, length: int, full: bool) -> DataFrame:
     """A row a stretch: fp, and if ``full`` also span, k1, k2 (the document's row), at and windows."""
-    schema = "fp long" + ", span long, k1 long, k2 int, at int, windows int" * full
+    schema = "fp long" + ", span binary, k1 long, k2 binary, at int, windows int" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             texts = views(batch.column("_text"))
-            text, at, count, fp, span = stretches(texts, split(texts), length)
+            words = split(texts)
+            text, at, count, fp = stretches(texts, words, length)
             out = [pa.array(fp.view(np.int64))]
             if full:
                 k1, k2 = _keys(batch, texts)
-                out += [pa.array(span.view(np.int64)), pa.array(k1[text]), pa.array(k2[text]), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))]
+                span = digests(texts, words, at + words.of[text], count + (length - 1))
+                out += [pa.array(span, pa.binary()), k1.take(pa.array(text)), k2.take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=["fp", "span", "k1", "k2", "at", "windows"][: len(out)])
 
     return rows.mapInArrow(run, schema)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) in the shared folder, by level."""
+    """Sorted immutable runs of (fp, n) by level; in a scratch folder, or in ``folder``, whose finished runs are taken up again."""
 
-    def __init__(self, scratch: Scratch, length: int = LENGTH, fanout: int = FANOUT):
-        self.scratch, self.length, self.fanout = scratch, length, fanout
+    def __init__(self, scratch: Scratch, length: int = LENGTH, fanout: int = FANOUT, folder: str | None = None):
+        self.scratch, self.length, self.fanout, self.folder = scratch, length, fanout, folder
         self.levels: list[list[DataFrame]] = []
         self.hits: list[DataFrame] = []
+        for at in scratch.finished(f"{folder}/*/*") if folder else []:
+            level = int(at.rsplit("/", 2)[-2])
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(scratch.open(at, "fp long, n long"))
 
     @property
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def _put(self, counts: DataFrame, level: int) -> DataFrame:
-        run = self.scratch.keep(counts.sortWithinPartitions("fp"), f"run-{level}")
+        at = f"{self.folder}/{level}/{uuid.uuid4().hex}" if self.folder else None
+        run = self.scratch.keep(counts.sortWithinPartitions("fp"), f"run-{level}", at)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(run)
         return run
@@ -143,11 +170,6 @@ class FingerprintIndex:
         return every.distinct()
 
 
-def _window_hashes(data: Texts, words: Words, length: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = word_hashes(data, words)
-    return run_hashes(hashes, places, length).view(np.int64), run_hashes(hashes, places, length, 1).view(np.int64)
-
-
 def _one(raw: bytes) -> tuple[Texts, Words]:
     texts = Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
     return texts, split(texts)
@@ -191,7 +213,7 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     alone = classes.where("n = 1").select("x.k1", "x.k2", "x.at", "x.windows", F.lit(-1).cast("long").alias("n"))
     open_ = classes.join(kinds.select("fp"), "fp").select("x.k1", "x.k2", "x.at", "x.windows", "n")
     marks = found.select("k1", "k2", "at", "windows", F.lit(0).cast("long").alias("n")).unionByName(alone).unionByName(open_)
-    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "windows", "n")).alias("marks"))
+    marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "windows", "n")).alias("marks"))
     name = "kept_sha256" if digest else "kept"
 
     def zip_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +221,9 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
         for batch in slices(batches, "_text"):
             texts = views(batch.column("_text"))
             k1, k2 = _keys(batch, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), batch.column("id"), pa.array([press.compress(texts.text(i)) for i in range(len(texts))], pa.binary())], names=["k1", "k2", "id", "z"])
+            yield pa.RecordBatch.from_arrays([k1, k2, batch.column("id"), pa.array([press.compress(texts.text(i)) for i in range(len(texts))], pa.binary())], names=["k1", "k2", "id", "z"])
 
-    packed = rows.mapInArrow(zip_up, "k1 long, k2 int, id long, z binary")
+    packed = rows.mapInArrow(zip_up, "k1 long, k2 binary, id long, z binary")
 
     def finish(raw: bytes, n: int, spans: list[tuple[int, int]]) -> tuple[int, str]:
         removed, rest = _clean(raw, _cover(n, spans, length) if spans else None)
@@ -226,26 +248,25 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
                     if asked:
                         texts, words = _one(raw)
                         places = np.concatenate([np.arange(m["at"], m["at"] + m["windows"]) for m in asked])
-                        h1, h2 = _window_hashes(texts, words, length, places)
                         weight = np.concatenate([np.full(m["windows"], m["n"]) for m in asked])
-                        hashes = [{"h1": a, "h2": b, "at": c, "n": d} for a, b, c, d in zip(h1.tolist(), h2.tolist(), places.tolist(), weight.tolist(), strict=True)]
+                        hashes = [{"h": a, "at": c, "n": d} for a, c, d in zip(digests(texts, words, places, length), places.tolist(), weight.tolist(), strict=True)]
                     removed, rest = (None, None) if lonely else finish(raw, n, spans)
                     for c, v in (("n_words", n), ("n_removed", removed), (name, rest), ("z", z[i] if lonely else None), ("spans", [{"at": a, "windows": w} for a, w in spans] if lonely else None), ("open", hashes)):
                         cols[c].append(v)
-                kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), name: pa.string(), "z": pa.binary(), "spans": pa.list_(pa.struct([("at", pa.int32()), ("windows", pa.int32())])), "open": pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("n", pa.int64())]))}
+                kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), name: pa.string(), "z": pa.binary(), "spans": pa.list_(pa.struct([("at", pa.int32()), ("windows", pa.int32())])), "open": pa.list_(pa.struct([("h", pa.binary()), ("at", pa.int32()), ("n", pa.int64())]))}
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), part.column("k2"), *[pa.array(cols[c], t) for c, t in kinds.items()]], names=["id", "k1", "k2", *kinds])
 
     drafts = scratch.keep(
         packed.join(marks, ["k1", "k2"], "left").select("k1", "k2", "id", "z", "marks").mapInArrow(
-            draft, f"id long, k1 long, k2 int, n_words long, n_removed long, {name} string, z binary, spans array<struct<at:int,windows:int>>, open array<struct<h1:long,h2:long,at:int,n:long>>"
+            draft, f"id long, k1 long, k2 binary, n_words long, n_removed long, {name} string, z binary, spans array<struct<at:int,windows:int>>, open array<struct<h:binary,at:int,n:long>>"
         ),
         "drafts",
     )
     scratch.drop(found)
     # Windows of stretches that differ, one by one: n is how many places a stretch stands for.
     asked = drafts.where("open is not null").select("k1", "k2", F.explode("open").alias("w")).select("k1", "k2", "w.*")
-    twice = asked.groupBy("h1", "h2").agg(F.sum("n").alias("places"), F.min("n").alias("least")).where("places > 1 and least = 1")
-    extra = asked.where("n = 1").join(twice.select("h1", "h2"), ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("extra"))
+    twice = asked.groupBy("h").agg(F.sum("n").alias("places"), F.min("n").alias("least")).where("places > 1 and least = 1")
+    extra = asked.where("n = 1").join(twice.select("h"), "h").groupBy("k1", "k2").agg(F.collect_set("at").alias("extra"))
     waiting = drafts.where("z is not null").select("k1", "k2", "id", "n_words", "z", "spans").join(extra, ["k1", "k2"], "left")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +281,7 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
                     rest.append(b)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k2"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(rest, pa.string())], names=["id", "k2", "n_words", "n_removed", name])
 
-    settled = waiting.mapInArrow(settle, f"id long, k2 int, n_words long, n_removed long, {name} string")
+    settled = waiting.mapInArrow(settle, f"id long, k2 binary, n_words long, n_removed long, {name} string")
     return drafts.where("z is null").select("id", "k2", "n_words", "n_removed", name).unionByName(settled)
 
 
@@ -271,17 +292,10 @@ def removals(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: s
 
 def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with texts cut to the kept words; texts that lose none keep their white space, those that lose all go."""
-    done = scrub(docs, length, key, text).where("n_removed > 0").select(F.coalesce("id", F.lit(NO_ID)).alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept")).distinct()
-    columns = docs.columns
-    spot = F.col(f"`{text}`")
-
-    @F.pandas_udf("int")
-    def own(texts):
-        import pandas as pd
-
-        return pd.Series([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "replace")) & 0x7FFFFFFF for x in texts], dtype="int32")
-
-    keyed = docs.withColumn("_k1", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))).withColumn("_k2", own(spot.cast("string")))
+    done = scrub(docs, length, key, text).where("n_removed > 0").select(F.coalesce("id", F.lit(NO_ID)).alias("k1"), "k2", "kept").groupBy("k1", "k2").agg(F.min("kept").alias("kept"))
+    # Columns travel under their places, so no name of theirs can clash.
+    k1, k2 = _key_columns(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], k1.alias("k1"), k2.alias("k2"))
     # Texts are dealt by key at any size: what was cut grows with the corpus.
-    joined = keyed.join(done.hint("merge"), ["_k1", "_k2"], "left").where("_kept is null or _kept <> ''")
-    return joined.select(*[F.coalesce(F.col("_kept"), spot).alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    joined = keyed.join(done.hint("merge"), ["k1", "k2"], "left").where("kept is null or kept <> ''")
+    return joined.select(*[(F.coalesce(F.col("kept"), F.col(f"c{i}")) if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

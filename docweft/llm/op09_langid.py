@@ -1,25 +1,31 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The vocabulary is a public one, fixed: the pieces of a SentencePiece model, as
-bytes, with all single bytes. Every language has a probability for each piece. A
-word's likelihood is the sum over all its segmentations into pieces, computed by
-the forward algorithm; a text's is the product over its words, and the
-languages' posterior under their shares in training decides. The probabilities
-come from expectation maximisation over the same segmentations (forward and
-backward) on a bounded sample.
+The vocabulary is a public one, fixed: all pieces of a SentencePiece model that
+can stand in a word, as bytes, with all single bytes. Every language has a
+probability for each piece. A word's likelihood is the sum over all its
+segmentations into pieces, computed by the forward algorithm over the whole
+word, whatever its length (values are rescaled as they run); a text's is the
+product over its words, and the languages' posterior under their shares among
+the permitted documents decides. The probabilities come from expectation
+maximisation over the same segmentations (forward and backward) on a bounded
+sample.
 
 Words are scored once a table: a worker keeps the log-likelihoods of the words
-it has seen under their 64-bit hashes. Words of over WORD bytes are taken in
-stretches of WORD bytes, so every byte of a text counts.
+it has seen under their 64-bit hashes.
 
 Scale: one narrow pass, no shuffle; tasks receive the piece table (a few MB for
-the vocabulary and its languages, whatever the corpus). The fit uses at most
-ROWS documents, the least by hash of their id.
+the vocabulary and its languages, whatever the corpus). Words are scored in
+groups of like length; a long one is gone through in stretches, so memory does
+not grow with its pieces. The fit uses at most ROWS documents of each language,
+the least by hash of their id, found by a cut in the hash that follows from the
+language's count: no language is lost beside a larger one.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with
 score 0; without any language to learn from every text is ``und`` with score 0;
 ties go to the first language by code points; null ids are scored, held_out is
-null for them; an empty table gives no rows; other columns are not read.
+null for them, and are not learned from; rows that repeat an id teach once (the
+least language and text) and score as any other; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,32 +40,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.learning import LEARN_CHARS, fold
+from docweft.llm.learning import fold
 from docweft.llm.op02_sentencepiece import BYTE, MARK, NORMAL, USER_DEFINED, read_model
 from docweft.llm.units import HashTable
-from docweft.llm.words import U64, Texts, Words, mix, slices, split, views, word_hashes
+from docweft.llm.words import U64, Texts, mix, slices, split, views, word_hashes
 
-#: Documents that the fit may use.
-ROWS = 4000
-WORD, PIECE, ROUNDS = 24, 12, 3
+#: Documents of each language that the fit may use.
+ROWS = 1000
+ROUNDS = 3
 #: Smoothing: the count that every piece has in every language before any is seen.
 FLOOR = 0.02
-#: Per byte, so that products over a word stay within doubles.
-LIFT = 64.0
+#: Per byte, against products that vanish; every RESCALE bytes they are made one again.
+LIFT, RESCALE = 64.0, 16
+#: Bytes of words that are gone through together.
+_GROUP = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 _BASE = U64(0x9E3779B97F4A7C15)
 
 
-def pieces_of(path: str) -> list[bytes]:
-    """The vocabulary's pieces of at most PIECE bytes, a space for the marker, and all single bytes."""
+def pieces_of(file: str | bytes) -> list[bytes]:
+    """The vocabulary's pieces, a space for the marker, and all single bytes; those with a marker inside match no word."""
     found = {bytes([i]) for i in range(256)}
-    for text, _, kind in read_model(Path(path).read_bytes()).pieces:
-        if kind in (NORMAL, USER_DEFINED) and text.count(MARK) <= 1 and not text[1:].count(MARK):
-            raw = text.replace(MARK, " ").encode()
-            if 0 < len(raw) <= PIECE:
-                found.add(raw)
-        elif kind == BYTE:
-            continue
+    for text, _, kind in read_model(file if isinstance(file, bytes) else Path(file).read_bytes()).pieces:
+        if kind in (NORMAL, USER_DEFINED) and text and not text[1:].count(MARK):
+            found.add(text.replace(MARK, " ").encode())
     return sorted(found)
 
 
@@ -79,74 +83,103 @@ class Lexicon:
             keys[i] = value
         self.table.add(mix(keys + self.sizes.astype(U64)))  # rows in the order of the pieces
 
-    def spans(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For words of one length (rows of bytes): the piece of each stretch [a, b), -1 where it is none."""
-        out = {}
-        with np.errstate(over="ignore"):
-            for a in range(words.shape[1]):
-                value = np.zeros(len(words), U64)
-                for b in range(a + 1, min(words.shape[1], a + self.longest) + 1):
-                    value = value * _BASE + words[:, b - 1] + U64(1)
-                    out[a, b] = self.table.find(mix(value + U64(b - a)))
+    def spans(self, words: np.ndarray) -> np.ndarray:
+        """[l - 1, word, b - 1]: the piece of l bytes that ends before byte b, or ``n`` for none; words are rows of bytes."""
+        rows, length = words.shape
+        out = np.full((min(self.longest, length), rows, length), self.n, np.int32)
+        value = np.zeros((rows, length + 1), U64)
+        for l in range(1, len(out) + 1):  # noqa: E741
+            value = value[:, : length - l + 1] * _BASE + words[:, l - 1 :] + U64(1)
+            found = self.table.find(mix(value + U64(l)).ravel()).reshape(value.shape)
+            out[l - 1][:, l - 1 :] = np.where(found < 0, self.n, found)
         return out
 
-
-def forward(spans: dict, length: int, lifted: np.ndarray) -> np.ndarray:
-    """alpha[position] (words x languages); ``lifted`` has a last row of zeros for no piece."""
-    n = len(spans[0, 1])
-    alpha = [np.ones((n, lifted.shape[1]))]
-    for b in range(1, length + 1):
-        total = np.zeros((n, lifted.shape[1]))
-        for a in range(max(0, b - PIECE), b):
-            piece = spans.get((a, b))
-            if piece is not None:
-                total += alpha[a] * lifted[piece]
-        alpha.append(total)
-    return alpha
-
-
-def expected(words: np.ndarray, counts: np.ndarray, lexicon: Lexicon, lifted: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in each language, for words of one length with counts a language."""
-    length = words.shape[1]
-    out = np.zeros((lexicon.n, lifted.shape[1]))
-    spans = lexicon.spans(words)
-    alpha = forward(spans, length, lifted)
-    beta = [np.zeros_like(alpha[0])] * length + [np.ones_like(alpha[0])]
-    for a in range(length - 1, -1, -1):
-        total = np.zeros_like(alpha[0])
-        for b in range(a + 1, min(length, a + PIECE) + 1):
-            piece = spans.get((a, b))
-            if piece is not None:
-                total = total + lifted[piece] * beta[b]
-        beta[a] = total
-    share = counts / np.maximum(alpha[length], 1e-300)
-    for (a, b), piece in spans.items():
-        hit = piece >= 0
-        if hit.any():
-            own = alpha[a][hit] * lifted[piece[hit]] * beta[b][hit] * share[hit]
+    def stretches(self, words: np.ndarray, back: bool = False):
+        """(low, spans of the ends after low) over whole words, some _GROUP bytes at a time, from the left or from the right."""
+        step = max(1, _GROUP // len(words))
+        lows = range(0, words.shape[1], step)
+        for low in reversed(lows) if back else lows:
+            lead = min(low, self.longest - 1)
+            yield low, self.spans(words[:, low - lead : low + step])[:, :, lead:]
+
+
+def forward(words: np.ndarray, lexicon: Lexicon, lifted: np.ndarray, size: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, ...]:
+    """Log-likelihood (words x languages) of the first ``size`` bytes of each row, lifted; with ``keep`` also alpha and its logs by position.
+
+    ``lifted`` (pieces x languages) has a last row of zeros for no piece. What
+    alpha holds times exp(log) is the sum over all segmentations up to there.
+    """
+    rows, length = words.shape
+    size = np.full(rows, length) if size is None else size
+    back = lexicon.longest
+    alpha = np.zeros(((length if keep else back + RESCALE) + 1, rows, lifted.shape[1]))
+    log = np.zeros(alpha.shape if keep else (1, *alpha.shape[1:]))
+    now, shift, out = np.zeros(alpha.shape[1:]), 0, np.zeros(alpha.shape[1:])
+    alpha[0] = 1
+    for low, spans in lexicon.stretches(words):
+        for b in range(low + 1, low + spans.shape[2] + 1):
+            if not keep and b - shift >= len(alpha):  # only what a piece can reach is held
+                alpha[:back] = alpha[len(alpha) - back :].copy()
+                shift = b - back
+            n = min(b, len(spans), back)
+            at = b - shift
+            alpha[at] = np.einsum("lnk,lnk->nk", alpha[at - n : at][::-1], lifted[spans[:n, :, b - low - 1]])
+            if b % RESCALE == 0:
+                by = np.where(alpha[at] > 0, alpha[at], 1.0)
+                alpha[max(0, at - back + 1) : at + 1] /= by
+                now = now + np.log(by)
+                if keep:
+                    log[max(0, at - back + 1) : at] = now
+            if keep:
+                log[at] = now
+            done = size == b
+            if done.any():
+                out[done] = np.log(alpha[at][done]) + now[done]
+    return (out, alpha, log) if keep else (out,)
+
+
+def expected(words: np.ndarray, size: np.ndarray, counts: np.ndarray, lexicon: Lexicon, lifted: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in each language, for words (rows, padded to one length) with counts a language."""
+    rows, length = words.shape
+    out = np.zeros((lexicon.n + 1, lifted.shape[1]))
+    total, alpha, log = forward(words, lexicon, lifted, size, True)
+    beta, past, now = np.zeros_like(alpha), np.zeros_like(log), np.zeros(alpha.shape[1:])
+    beta[size, np.arange(rows)] = 1
+    for low, spans in lexicon.stretches(words, True):
+        for b in range(low + spans.shape[2], low, -1):
+            n = min(b, len(spans))
+            # A word that ends here starts at 1; what its pending places hold is nothing yet.
+            now = np.where((size == b)[:, None], 0.0, now)
+            past[b] = now
+            piece = spans[:n, :, b - low - 1]
+            move = lifted[piece] * beta[b]
+            own = alpha[b - n : b][::-1] * move * np.exp(log[b - n : b][::-1] + now - total) * counts
             for k in range(out.shape[1]):
-                out[:, k] += np.bincount(piece[hit], own[:, k], lexicon.n)
-    return out
+                out[:, k] += np.bincount(piece.ravel(), own[:, :, k].ravel(), lexicon.n + 1)
+            beta[b - n : b] += move[::-1]
+            if b % RESCALE == 0:
+                by = np.where(beta[b - 1] > 0, beta[b - 1], 1.0)
+                beta[b - n : b] /= by
+                now = now + np.log(by)
+    return out[:-1]
 
 
-def cut_words(texts: Texts) -> Words:
-    """Words with a byte before each for the marker; those of over WORD bytes in stretches."""
-    words = split(texts)
-    size = words.end - words.start
-    if not len(size) or size.max() <= WORD:
-        return words
-    parts = (size + WORD - 1) // WORD
-    first = np.repeat(words.start, parts)
-    nth = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = first + nth * WORD
-    end = np.minimum(start + WORD, np.repeat(words.end, parts))
-    return Words(start, end, np.concatenate([[0], np.cumsum(parts)])[words.of])
+def like(size: np.ndarray):
+    """Places of words of like length, with the length to pad to; at most _GROUP bytes together, or one longer word."""
+    order = np.argsort(size, kind="stable")
+    ranked, low = size[order], 0
+    while low < len(order):
+        most = int(ranked[low]) if ranked[low] <= 32 else int(ranked[low]) * 5 // 4
+        high = min(int(np.searchsorted(ranked, most, "right")), low + max(1, _GROUP // most))
+        yield order[low:high], int(ranked[high - 1])
+        low = high
 
 
-def _matrix(texts: Texts, start: np.ndarray, size: int) -> np.ndarray:
-    """Rows: a space, then the word's bytes."""
-    rows = texts.data[start[:, None] + np.arange(size)]
-    return np.concatenate([np.full((len(rows), 1), 0x20, np.uint8), rows], axis=1).astype(U64)
+def _matrix(texts: Texts, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Rows: a space, then the word's bytes, then nothing up to ``length``."""
+    at = np.arange(length)
+    rows = np.where(at < size[:, None], texts.data[np.minimum(start[:, None] + at, len(texts.data) - 1)], 0)
+    return np.concatenate([np.full((len(rows), 1), 0x20, np.uint8), rows.astype(np.uint8)], axis=1).astype(U64)
 
 
 @dataclass
@@ -157,14 +190,15 @@ class Languages:
     pieces: list[bytes]
 
 
-def train(texts: list[bytes], langs: list[str], pieces: list[bytes]) -> Languages:
+def train(texts: list[bytes], langs: list[str], pieces: list[bytes], documents: dict[str, int] | None = None) -> Languages:
+    """``documents``: how many of each language there are in all, for the shares."""
     names = sorted(set(langs), key=lambda x: x.encode())
     if not names:
         return Languages([], np.zeros(0), np.zeros((len(pieces), 0)), pieces)
     lexicon = Lexicon(pieces)
     data = b"\n".join(texts)
-    joined = Texts(np.frombuffer(data, np.uint8), np.array([0, *np.cumsum([len(x) + 1 for x in texts])[:-1], len(data)], np.int64) if texts else np.zeros(1, np.int64))
-    words = cut_words(joined)
+    joined = Texts(np.frombuffer(data, np.uint8), np.array([0, *np.cumsum([len(x) + 1 for x in texts])[:-1], len(data)], np.int64))
+    words = split(joined)
     of = np.repeat([names.index(x) for x in langs], np.diff(words.of))
     keys, place, inverse = np.unique(word_hashes(joined, words), return_index=True, return_inverse=True)
     counts = np.stack([np.bincount(inverse[of == k], minlength=len(keys)) for k in range(len(names))], axis=1).astype(float)
@@ -174,42 +208,37 @@ def train(texts: list[bytes], langs: list[str], pieces: list[bytes]) -> Language
     for _ in range(ROUNDS):
         lifted = np.concatenate([chance * lift, np.zeros((1, len(names)))])
         total = np.full_like(chance, FLOOR)
-        for n in np.unique(size):
-            rows = np.flatnonzero(size == n)
-            for low in range(0, len(rows), 20_000):
-                own = rows[low : low + 20_000]
-                total += expected(_matrix(joined, start[own], int(n)), counts[own], lexicon, lifted)
+        for own, length in like(size):
+            total += expected(_matrix(joined, start[own], size[own], length), size[own] + 1, counts[own], lexicon, lifted)
         chance = total / total.sum(axis=0)
-    docs = np.array([langs.count(x) for x in names], float)
+    docs = np.array([(documents or {}).get(x) or langs.count(x) for x in names], float)
     return Languages(names, np.log(docs / docs.sum()), chance, pieces)
 
 
 class Scorer:
     """Log-likelihoods of words, remembered."""
 
-    def __init__(self, model: Languages, bits: int = 21):
-        self.model, self.bits = model, bits
+    def __init__(self, model: Languages, table_bytes: int = 1 << 25):
+        self.model = model
+        self.bits = max(10, (table_bytes // (8 * max(1, len(model.names)))).bit_length())
         self.lexicon = Lexicon(model.pieces)
         self.lifted = np.concatenate([model.chance * LIFT ** self.lexicon.sizes[:, None], np.zeros((1, len(model.names)))])
         self.clear()
 
     def clear(self) -> None:
         self.table = HashTable(self.bits)
-        self.values = np.zeros((1 << self.bits - 1, len(self.model.names)), np.float32)
+        self.values = np.zeros((1 << self.bits - 1, len(self.model.names)))
 
     def _score(self, texts: Texts, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(start), len(self.model.names)), np.float32)
-        for n in np.unique(size):
-            rows = np.flatnonzero(size == n)
-            for low in range(0, len(rows), 8192):
-                own = rows[low : low + 8192]
-                spans = self.lexicon.spans(_matrix(texts, start[own], int(n)))
-                out[own] = np.log(forward(spans, int(n) + 1, self.lifted)[int(n) + 1]) - (n + 1) * np.log(LIFT)
+        out = np.zeros((len(start), len(self.model.names)))
+        for own, length in like(size):
+            found = forward(_matrix(texts, start[own], size[own], length), self.lexicon, self.lifted, size[own] + 1)[0]
+            out[own] = found - (size[own] + 1)[:, None] * np.log(LIFT)
         return out
 
     def posterior(self, texts: Texts) -> np.ndarray:
         """Probability of each language for each text."""
-        words = cut_words(texts)
+        words = split(texts)
         keys = word_hashes(texts, words)
         rows = self.table.find(keys)
         new, place = np.unique(keys[rows < 0], return_index=True)
@@ -239,10 +268,24 @@ _SCORERS: dict[int, Scorer] = {}
 def fit(docs: DataFrame, vocabulary: str, learn: Column, rows: int = ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """``learn`` reads the column _id."""
     own = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn & (F.length("text") <= LEARN_CHARS))
-    few = own.select("_id", "lang").orderBy(F.xxhash64("_id"), "_id", "lang").limit(rows)
-    table = own.join(F.broadcast(few.select("_id").distinct()), "_id").groupBy("_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("_id", "x.lang", "x.text").toArrow().sort_by("_id")
-    return train([x.encode("utf-8", "replace") for x in table.column("text").to_pylist()], table.column("lang").to_pylist(), pieces_of(vocabulary))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not counts:
+        return train([], [], pieces_of(vocabulary))
+    # A cut that leaves about twice as many as wanted (all, if there are no more), then the least by hash.
+    cuts = [(x, (2 * rows + 100) / n) for x, n in counts.items()]
+    spark = docs.sparkSession
+    place = (F.xxhash64("_id").cast("double") / 2.0**64 + 0.5).alias("place")
+    near = own.select("_id", "lang", place).join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut double")), "lang").where("place < cut")
+    held: dict = {}
+    for r in sorted(near.select("_id", "lang", "place").distinct().toLocalIterator(), key=lambda r: (r["place"], str(r["_id"]))):
+        mine = held.setdefault(r.lang, [])
+        if len(mine) < rows:
+            mine.append(r["_id"])
+    kind = docs.schema[key].dataType.simpleString()
+    few = spark.createDataFrame([(i,) for ids in held.values() for i in ids], f"_id {kind}").distinct()
+    table = own.join(F.broadcast(few), "_id").groupBy("_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("_id", "x.lang", "x.text").toArrow().sort_by("_id")
+    return train([x.encode("utf-8", "replace") for x in table.column("text").to_pylist()], table.column("lang").to_pylist(), pieces_of(vocabulary), counts)
 
 
 def languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: int = 2, rows: int = ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

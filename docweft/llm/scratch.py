@@ -41,16 +41,25 @@ class Scratch:
         self._n += 1
         return f"{self.path}/{self._n:04d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: its lineage ends here, and losing an executor loses nothing."""
-        at = self.place(name)
+    def keep(self, df: DataFrame, name: str, at: str | None = None) -> DataFrame:
+        """Write ``df`` (to ``at``, which then stays) and read it back: its lineage ends here, and losing an executor loses nothing."""
+        at = at or self.place(name)
         df.write.option("compression", "zstd").parquet(at)
-        if not self._bound:
+        if not self._bound and at.startswith(self.path):
             self._bound = self._system(self.path).deleteOnExit(self._path(self.path))
-        back = self.spark.read.schema(df.schema).parquet(at)
+        return self.open(at, df.schema)
+
+    def open(self, at: str, schema) -> DataFrame:
+        """A table that was kept at ``at``."""
+        back = self.spark.read.schema(schema).parquet(at)
         back._docweft_place = at
         return back
 
+    def finished(self, pattern: str) -> list[str]:
+        """Places of whole tables that match a pattern, in order."""
+        found = self._system(pattern).globStatus(self._path(f"{pattern}/_SUCCESS"))
+        return sorted(str(x.getPath().getParent()) for x in found or [])
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by keep() that nothing reads any more."""
         at = getattr(df, "_docweft_place", None)
