@@ -7,7 +7,9 @@ with 32 tables of 12 bits a pair at 0.95 is missed once in 34,000 (MISSED). With
 more bits there are as many more tables as keep a pair at ``similar`` under that
 (53 at 16 bits, 104 at 22); closer pairs are missed ever less.
 
-Identical vectors are one class before hashing. A bucket is cut into blocks of
+Identical vectors are one class before hashing. Of buckets with the same members
+in several tables only the first is compared, so a dense cluster is moved once
+while it stays together. A bucket is cut into blocks of
 BLOCK vectors by hash, and pairs of blocks are the unit of work, so a bucket
 with a third of all rows is many tasks of at most 2 * BLOCK vectors. A pair that
 agrees in several tables counts in the first of them. A unit of work sends back
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from docweft.llm.components import components
 from docweft.llm.scratch import Scratch
 
-TABLES, BITS, BLOCK, SEED = 32, 12, 512, 20240229
+TABLES, BITS, BLOCK, SEED = 32, 12, 1024, 20240229
 SIMILAR = 0.95
 #: Largest share of the pairs at the threshold that may share no bucket.
 MISSED = 1 / 34_000
@@ -141,10 +143,13 @@ class Unit:
         return counts, edges
 
 
-def compare(hashed: DataFrame, tables: int, width: int, similar: float, block: int) -> DataFrame:
+def compare(hashed: DataFrame, tables: int, width: int, similar: float, block: int, scratch: Scratch) -> DataFrame:
     """(a, b, links): rows with b null carry links of a from one unit of work; the others are forest links."""
     spread = hashed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring(F.col("sig"), t * 4 + 1, F.lit(4)))).alias("t", "s"))
-    full = spread.groupBy("t", "s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = F.struct(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))).alias("members")
+    full = spread.groupBy("t", "s").agg(members).where("members.m > 1")
+    # A pair counts in its first table, and a bucket with the same members in an earlier one is not that.
+    full = scratch.keep(full.groupBy("members").agg(F.min(F.struct("t", "s")).alias("x")).select("x.t", "x.s", "members.m"), "buckets")
     shared = spread.join(full, ["t", "s"]).select("id", "t", "s", F.ceil(F.col("m") / block).cast("int").alias("nb"))
     # One row a bucket in which the vector has company, then one a pair of blocks.
     member = hashed.join(shared, "id").withColumn("me", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nb")).cast("int"))
@@ -207,7 +212,7 @@ def near_duplicates(rows: DataFrame, similar: float = SIMILAR, key: str = "vec_i
     # -0.0 and 0.0 are one value of a vector.
     classes = once.where("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind if width == 4 else "double"))).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     hashed = scratch.keep(_hashed(classes.select("id", "size", "v"), tables, bits, width), "hashed")
-    found = scratch.keep(compare(hashed, tables, width, similar, block), "found")
+    found = scratch.keep(compare(hashed, tables, width, similar, block, scratch), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     of = components(found.where("b is not null").select("a", "b"), scratch)
     per_class = hashed.select("id", "size").join(links.withColumnRenamed("a", "id"), "id", "left").join(of.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -48,10 +48,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", op07_mixture.word_count(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", op07_mixture.word_count(F.col("text")).alias("words"), op07_mixture.uniform(F.col("doc_id"), F.col("text")).alias("draw"))
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     rated = docs.join(marks, F.col("doc_id") == F.col("label_id"), "left")
-    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("quality")), keep=("doc_id",), words="words")
+    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("quality")), keep=("doc_id",), words="words", draw="draw")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -124,10 +124,10 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS
 
 _MIX = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len({_WORDS}), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len({_WORDS}), 0) AS BIGINT) AS size FROM documents
 ), q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 k AS (
-  SELECT d.*, -ln((CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+  SELECT d.*, -ln((CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':' || coalesce(d.text, '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
     / CASE WHEN quality = 1 THEN 2.0 WHEN quality = 0 THEN 0.5 ELSE 1.0 END AS key
   FROM d LEFT JOIN q ON q.doc_id = d.doc_id
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
