@@ -34,15 +34,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, documents labelled good likelier: a row for each time a document is taken."""
-    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    sized = docs.select("doc_id", "source", op07_mixture.word_count(F.col("text")).alias("_words"))
-    rated = Scratch(spark, "mixture").keep(sized.join(marks, F.col("doc_id") == F.col("_label_id"), "left").drop("_label_id"), "rated")
-    mixed = op07_mixture.mix(rated, quality=op07_mixture.by_label(F.col("_quality")), keep=("doc_id", "source", "_words"), words="_words")
-    # Rows of one id, source and size are taken equally often, so texts meet one row each.
-    taken = mixed.where("copies > 0").groupBy(*[F.col(c).alias(f"_by_{c}") for c in ("doc_id", "source", "_words")]).agg(F.max("copies").alias("copies"))
-    texts = docs.withColumn("_words", op07_mixture.word_count(F.col("text")))
-    met = texts.join(taken.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in ("doc_id", "source", "_words")])
-    return op07_mixture.repeated(met).select(*docs.columns)
+    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    sized = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in places.items()], op07_mixture.word_count(F.col("text")).alias("words"), op07_mixture.uniform(F.col("doc_id"), F.col("text")).alias("draw"))
+    rated = sized.join(marks, F.col(places["doc_id"]) == F.col("label_id"), "left")
+    mixed = op07_mixture.mix(rated, places["doc_id"], places["text"], places["source"], op07_mixture.by_label(F.col("quality")), keep=tuple(places.values()), words="words", draw="draw")
+    return op07_mixture.repeated(mixed).select(*[F.col(p).alias(c) for c, p in places.items()])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
