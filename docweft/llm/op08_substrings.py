@@ -208,7 +208,7 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
     found = scratch.keep(fingerprints(rows, length, True).join(hot, "fp"), "found")
     classes = scratch.keep(found.groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "windows")).alias("x")), "stretches")
-    kinds = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = scratch.keep(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     # n: 0 for every stretch found, -1 again for those that occur once as a whole, and how many a representative stands for.
     alone = classes.where("n = 1").select("x.k1", "x.k2", "x.at", "x.windows", F.lit(-1).cast("long").alias("n"))
     open_ = classes.join(kinds.select("fp"), "fp").select("x.k1", "x.k2", "x.at", "x.windows", "n")
