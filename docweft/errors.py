@@ -11,3 +11,7 @@ class UnsupportedError(QueryError):
 
 class InvalidQueryError(QueryError):
     """The construct is supported, but not like this."""
+
+
+class UnsupportedVerb(UnsupportedError, AttributeError):
+    """A verb that the engine refuses by design."""

@@ -46,6 +46,12 @@ def find(schema: T.StructType, name: str) -> Path | None:
     return path if len(path) > 1 and kind_of(schema, path) is not None else None
 
 
+def place(schema: T.StructType, name: str) -> Path:
+    """Where a field of a new name goes: into the struct that its first parts name, else a column of that very name."""
+    path = tuple(name.split("."))
+    return path if len(path) > 1 and isinstance(kind_of(schema, path[:1]), T.StructType) else (name,)
+
+
 def regrown(paths: list[Path]) -> list[Column]:
     """Structs with the selected paths only, roots and fields in order of first mention; a null parent stays null."""
     tree: dict = {}
@@ -70,7 +76,12 @@ def regrown(paths: list[Path]) -> list[Column]:
 
 def replaced(df: DataFrame, path: Path, value: Column) -> DataFrame:
     """``df`` with the value at a path: a column in place, a new one at the end, or a field of a struct."""
-    root = path[0]
+    root, there = path[0], len(path)
+    while there > 2 and not isinstance(kind_of(df.schema, path[: there - 1]), T.StructType):
+        there -= 1
+    for part in reversed(path[there:]):  # structs that the path names and nothing has yet
+        value = F.struct(value.alias(part))
+    path = path[:there]
     if len(path) > 1:
         value = F.when(column((root,)).isNotNull(), column((root,)).withField(".".join("`" + p.replace("`", "``") + "`" for p in path[1:]), value))
     if root in df.columns:

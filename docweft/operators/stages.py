@@ -117,6 +117,30 @@ def expression(df: DataFrame, x: object) -> S.Operand:
     raise UnsupportedError(f"stage operator {op}")
 
 
+def _test(df: DataFrame, key: str, op: str, to: object) -> Column:
+    """A field against a value in query form: never null, and an array field passes by any of its elements."""
+    found = _field(df, key)
+    if op in ("$ne", "$nin"):  # the rows that the positive form leaves, nulls among them
+        return ~_test(df, key, {"$ne": "$eq", "$nin": "$in"}[op], to)
+
+    def holds(x: S.Operand) -> Column:
+        if op == "$in":
+            return S.member(x, list(to))
+        value = expression(df, to if isinstance(to, dict) else {"$literal": to})
+        if op == "$eq" and value.literal and value.value is None:
+            return x.column.isNull()
+        return F.coalesce(S.BINARY[_SIMPLE[op]][0](x, value), F.lit(False))
+
+    if isinstance(found.kind, T.ArrayType) and not isinstance(to, list) or isinstance(found.kind, T.ArrayType) and op == "$in":
+        any_of = F.coalesce(F.exists(found.column, lambda e: holds(S.Operand(e, found.kind.elementType))), F.lit(False))
+        null = op == "$eq" and to is None or op == "$in" and None in to
+        return any_of | found.column.isNull() if null else any_of
+    if isinstance(to, list) and op == "$eq":
+        kind = found.kind.simpleString() if found.kind is not None else "array<string>"
+        return F.coalesce(found.column == F.array(*[F.lit(x) for x in to]).cast(kind), F.lit(False)) if isinstance(found.kind, T.ArrayType) else F.lit(False)
+    return holds(found)
+
+
 def _condition(df: DataFrame, query: dict) -> Column:
     """Query form: {"field": value or {"$gt": ...}}, $and, $or, $expr."""
     out = F.lit(True)
@@ -133,18 +157,16 @@ def _condition(df: DataFrame, query: dict) -> Column:
         elif isinstance(value, dict) and value and all(k.startswith("$") and k != "$date" for k in value):
             test = F.lit(True)
             for op, to in value.items():
-                if op == "$in":
-                    test = test & S.member(_field(df, key), [v for v in to])
-                elif op == "$nin":
-                    test = test & ~S.member(_field(df, key), [v for v in to])
-                elif op == "$exists":
+                if op == "$exists":
                     test = test & (_field(df, key).column.isNotNull() if to else _field(df, key).column.isNull())
-                elif op in _SIMPLE:
-                    test = test & expression(df, {op: [f"${key}", to if isinstance(to, dict) else {"$literal": to}]}).column
+                elif op in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin"):
+                    if op in ("$in", "$nin") and not isinstance(to, list):
+                        raise InvalidQueryError(f"{op} takes an array")
+                    test = test & _test(df, key, op, to)
                 else:
                     raise UnsupportedError(f"$match operator {op}")
         else:
-            test = expression(df, {"$eq": [f"${key}", value if isinstance(value, dict) else {"$literal": value}]}).column
+            test = _test(df, key, "$eq", value)
         out = out & test
     return out
 
@@ -155,7 +177,7 @@ def _project(df: DataFrame, spec: dict) -> DataFrame:
     on = {k: v for k, v in spec.items() if k not in off}
     if not on:
         return _without(df, off)
-    same, made = [], []
+    same, made, below = [], [], []
     if "_id" in df.columns and "_id" not in spec:
         same.append(("_id",))
     for name, value in on.items():
@@ -164,8 +186,21 @@ def _project(df: DataFrame, spec: dict) -> DataFrame:
             if path is not None:
                 same.append(path)
         else:
-            made.append(expression(df, value).column.alias(name))
-    return df.select(*N.regrown(same), *made)
+            own = expression(df, value).column
+            if len(path := N.place(df.schema, name)) > 1:
+                below.append((path, own.alias(f"{N.HIDDEN}_p{len(below)}")))
+            else:
+                made.append(own.alias(name))
+    out = df.select(*N.regrown(same), *made, *[c for _, c in below])
+    for i, (path, _) in enumerate(below):
+        own = N.column((f"{N.HIDDEN}_p{i}",))
+        if path[0] in out.columns:
+            out = N.replaced(out, path, own)
+        else:
+            for part in reversed(path[1:]):
+                own = F.struct(own.alias(part))
+            out = N.replaced(out, path[:1], own)
+    return out.select(*[N.column((c,)) for c in N.shown(out)])
 
 
 def _without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -213,7 +248,7 @@ def apply_stage(df: DataFrame, stage: dict) -> DataFrame:
     if name in ("$addFields", "$set"):
         given = {k: expression(df, v).column for k, v in spec.items()}
         for key, value in given.items():
-            df = N.replaced(df, N.find(df.schema, key) or (key,), value)
+            df = N.replaced(df, N.find(df.schema, key) or N.place(df.schema, key), value)
         return df
     if name == "$project":
         return _project(df, spec)

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.errors import InvalidQueryError, UnsupportedError
+from docweft.errors import InvalidQueryError, UnsupportedError, UnsupportedVerb
 from docweft.operators import nested as N
+from docweft.operators.positions import numbered
 from docweft.operators.stages import apply_stage, parse_stage
 from docweft.plans import expressions as E
 from docweft.plans.rendering import render
@@ -29,6 +30,13 @@ from docweft.streaming.cursor import Cursor
 ROW_SEQ = "1:n()"
 
 
+#: Verbs that users of data-frame grammars know and that this engine refuses by design.
+REFUSED = frozenset(
+    "inner_join left_join right_join full_join semi_join anti_join cross_join union union_all intersect setdiff distinct count tally pull relocate "
+    "pivot_longer pivot_wider across rowwise rollup cube grouping_sets window watermark sql udf".split()
+)
+
+
 def desc(name: str) -> tuple[str, bool]:
     """A descending sort key."""
     return (name, False)
@@ -57,6 +65,11 @@ class LazyTable:
     stages: tuple[dict, ...] = ()
     env: Mapping[str, object] = field(default_factory=dict)
 
+    def __getattr__(self, name: str) -> object:
+        if name in REFUSED:
+            raise UnsupportedVerb(f"{name}()")
+        raise AttributeError(name)
+
     # -- construction ---------------------------------------------------------
 
     @staticmethod
@@ -186,8 +199,11 @@ class LazyTable:
         n = _count(n, verb)
         own = self._numbered()
         back = (verb == "slice_tail") == (n >= 0)
-        ranked = own.df.orderBy(*own._keys(back))
-        df = ranked.limit(n) if n >= 0 else ranked.offset(-n)
+        if n >= 0:
+            df = own.df.orderBy(*own._keys(back)).limit(n)
+        else:
+            at = f"{N.HIDDEN}_at"
+            df = numbered(own.df, own.ordering, own._keys(back), at, back).where(N.column((at,)) > -n).drop(at)
         op = {"$limit": n} if verb == "slice_head" and n >= 0 else {f"${verb}": n}
         return replace(own, df=df, ops=(*self.ops, op))
 
@@ -246,15 +262,19 @@ class LazyTable:
         return self._set(name, value.column, {"$addFields": {name: doc}})
 
     def _set(self, name: str, value: Column, op: dict) -> LazyTable:
-        path = self._path(name) or (name,)
+        path = self._path(name) or N.place(self.df.schema, name)
         df = N.replaced(self.df, path, value)
         fields = self.fields if name in dict(self.fields) else (*self.fields, (name, path))
         return replace(self, df=df, fields=fields, ops=(*self.ops, op))
 
     def _sequence(self, name: str) -> LazyTable:
-        own = self._numbered()
-        window = Window.partitionBy(*[N.column(own._need(g, "group_by")) for g in own.groups]).orderBy(*own._keys())
-        return own._set(name, F.row_number().over(window).cast("long"), {"$rowSequence": {"field": name, "groups": list(own.groups)}})
+        own, op = self._numbered(), {"$rowSequence": {"field": name, "groups": list(self.groups)}}
+        if own.groups:
+            window = Window.partitionBy(*[N.column(own._need(g, "group_by")) for g in own.groups]).orderBy(*own._keys())
+            return own._set(name, F.row_number().over(window).cast("long"), op)
+        at = f"{N.HIDDEN}_at"
+        done = replace(own, df=numbered(own.df, own.ordering, own._keys(), at))._set(name, N.column((at,)), op)
+        return replace(done, df=done.df.drop(at))
 
     def transmute(self, *unnamed: object, **assigned: object) -> LazyTable:
         """mutate(), then only the named fields in their order."""

@@ -215,6 +215,16 @@ def _wider(op: str, args: list[S.Operand]) -> T.DataType | None:
     return kinds[0] if all(isinstance(k, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for k in kinds) else None
 
 
+def _widest(args: list[S.Operand]) -> T.DataType | None:
+    kinds = [a.kind for a in args]
+    if any(isinstance(k, (T.DoubleType, T.FloatType)) for k in kinds):
+        return T.DoubleType()
+    whole = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    if all(type(k) in whole for k in kinds):
+        return max(kinds, key=lambda k: whole.index(type(k)))
+    return kinds[0] if all(type(k) is type(kinds[0]) for k in kinds) else None
+
+
 def _result(name: str, args: list[S.Operand]) -> T.DataType | None:
     if name in ("tolower", "toupper", "substr", "substring"):
         return T.StringType()
@@ -222,8 +232,10 @@ def _result(name: str, args: list[S.Operand]) -> T.DataType | None:
         return T.LongType()
     if name == "is_na":
         return T.BooleanType()
-    if name in ("abs", "round", "trunc", "floor", "ceiling", "pmin", "pmax"):
+    if name in ("abs", "round", "trunc", "floor", "ceiling"):
         return args[0].kind
+    if name in ("pmin", "pmax"):
+        return _widest(args)
     if name == "if_else":
         return args[1].kind if type(args[1].kind) is type(args[2].kind) else None
     return T.DoubleType()

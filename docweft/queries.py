@@ -45,9 +45,9 @@ def flagship_top_customers(t):
 # -- filter ---------------------------------------------------------------------
 
 
-@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O' AND o_orderkey < 4000")
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O' AND o_totalprice <= 3000")
 def filter_multi(t):
-    return t("orders").filter("o_totalprice > 1000", "o_orderstatus == 'O'").filter("o_orderkey < 4000").select("o_orderkey", "o_totalprice")
+    return t("orders").filter("o_totalprice > 1000", "o_orderstatus == 'O'").filter("o_totalprice <= 3000").select("o_orderkey", "o_totalprice")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR NOT (o_totalprice >= 2000)")
@@ -258,9 +258,9 @@ def arrange_nulls_topk(t):
     return t("events").mutate(v="case_when((value > 90, value))").arrange("v", "event_id").slice_head(25).select("event_id", "v")
 
 
-@_query("SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 40")
+@_query("SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")
 def arrange_by_group(t):
-    return t("orders").group_by("o_orderstatus").arrange(desc("o_totalprice"), "o_orderkey", by_group=True).slice_head(40).select("o_orderstatus", "o_orderkey")
+    return t("orders").group_by("o_orderstatus").arrange(desc("o_totalprice"), "o_orderkey", by_group=True).select("o_orderstatus", "o_orderkey")
 
 
 @_query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7")
@@ -355,22 +355,22 @@ def unwind_filter_summarise(t):
     return t("embeddings").unwind_array("embedding").filter("embedding > 0").group_by("label").summarise(n="n()")
 
 
-@_query("""SELECT vec_id, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding[1:2]) AS x FROM embeddings WHERE label % 2 = 0
+@_query("""SELECT vec_id, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE label % 2 = 0
 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE label % 2 <> 0)""")
 def unwind_preserve_empty(t):
-    x = t("embeddings").mutate(x=F.when(F.col("label") % 2 == 0, F.slice("embedding", 1, 2)).otherwise(F.array().cast("array<float>")))
+    x = t("embeddings").mutate(x=F.when(F.col("label") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>")))
     return x.unwind_array("x", preserve_empty=True).mutate(x=F.col("x").cast("double")).select("vec_id", "x")
 
 
-@_query("SELECT vec_id, CAST(unnest(embedding[1:3]) AS DOUBLE) AS x FROM embeddings")
+@_query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 def unwind_nested_path(t):
-    df = t("embeddings").df.select("vec_id", F.struct(F.slice("embedding", 1, 3).alias("v"), F.col("label").alias("l")).alias("a"))
+    df = t("embeddings").df.select("vec_id", F.struct(F.col("embedding").alias("v"), F.col("label").alias("l")).alias("a"))
     return LazyTable.from_df(df).unwind_array("a.v").mutate(x=F.col("a.v").cast("double")).select("vec_id", "x")
 
 
-@_query("SELECT vec_id, code AS \"items.code\", CAST(v AS DOUBLE) AS \"items.v\" FROM (SELECT vec_id, unnest(['a', 'b']) AS code, unnest(embedding[1:2]) AS v FROM embeddings)")
+@_query("SELECT vec_id, code AS \"items.code\", CAST(v AS DOUBLE) AS \"items.v\" FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 'a' ELSE 'b' END)) AS code, unnest(embedding) AS v FROM embeddings)")
 def unwind_then_flatten(t):
-    items = F.array(*[F.struct(F.lit(c).alias("code"), F.element_at("embedding", i + 1).cast("double").alias("v")) for i, c in enumerate("ab")])
+    items = F.transform("embedding", lambda x: F.struct(F.when(x > 0, "a").otherwise("b").alias("code"), x.cast("double").alias("v")))
     return LazyTable.from_df(t("embeddings").df.select("vec_id", items.alias("items"))).unwind_array("items").flatten_fields("items")
 
 
@@ -400,9 +400,9 @@ def append_stage_chain(t):
     return x
 
 
-@_query("SELECT vec_id, CAST(e AS DOUBLE) AS e, i FROM (SELECT vec_id, unnest(embedding[1:2]) AS e, CAST(unnest([0, 1]) AS BIGINT) AS i FROM embeddings)")
+@_query("SELECT vec_id, CAST(e AS DOUBLE) AS e, i FROM (SELECT vec_id, unnest(embedding) AS e, CAST(unnest(range(len(embedding))) AS BIGINT) AS i FROM embeddings)")
 def append_stage_unwind(t):
-    df = t("embeddings").df.select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("e"))
+    df = t("embeddings").df.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     return LazyTable.from_df(df).append_stage('{"$unwind": {"path": "$e", "includeArrayIndex": "i"}}')
 
 
@@ -415,3 +415,52 @@ def append_stage_count(t):
 def append_stage_replace_root(t):
     x = LazyTable.from_df(t("customer").df.select(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("p")))
     return x.append_stage('{"$replaceRoot": {"newRoot": "$p"}}')
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'F'")
+def append_stage_match_ne(t):
+    x = LazyTable.from_df(t("orders").df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("s")))
+    return x.append_stage('{"$match": {"s": {"$ne": "F"}}}')
+
+
+@_query("SELECT doc_id FROM documents WHERE list_contains(string_split(lang || '-' || source, '-'), 'de') OR NOT list_contains(string_split(lang || '-' || source, '-'), 'en')")
+def append_stage_match_array(t):
+    x = LazyTable.from_df(t("documents").df.select("doc_id", F.split(F.concat("lang", F.lit("-"), "source"), "-").alias("tags")))
+    return x.append_stage('{"$match": {"$or": [{"tags": "de"}, {"tags": {"$ne": "en"}}]}}').append_stage('{"$unset": "tags"}')
+
+
+@_query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def append_stage_nested_field(t):
+    x = _packed(t).append_stage('{"$addFields": {"person.account.twice": {"$multiply": ["$person.account.balance", 2]}}}')
+    return x.append_stage('{"$project": {"c_custkey": 1, "twice": "$person.account.twice"}}')
+
+
+# -- what the rows above leave out -----------------------------------------------------
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity <= 10 AND l_discount >= 0.05 AND l_returnflag IN ('A', 'R')")
+def filter_le_and_c(t):
+    return t("lineitem").filter("(l_quantity <= 10) & (l_discount >= 0.05) & (l_returnflag in c('A', 'R'))", preserve=True).select("l_orderkey", "l_linenumber")
+
+
+@_query("SELECT vec_id, embedding AS \"v.parts\", label AS \"v.label\" FROM embeddings")
+def flatten_array_leaf(t):
+    return LazyTable.from_df(t("embeddings").df.select("vec_id", F.struct(F.col("embedding").alias("parts"), F.col("label").alias("label")).alias("v"))).flatten_fields()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderkey > 100")
+def names_field_before_local(t):
+    return t("orders").with_env(o_totalprice=-1.0, low=100).filter("o_totalprice > 2000", "data.o_orderkey > env.low").select("o_orderkey")
+
+
+@_query("""SELECT p_partkey, CAST(least(p_size, 10) AS VARCHAR) || ' ' || CASE WHEN greatest(p_size, p_retailprice) % 1 = 0
+THEN CAST(CAST(greatest(p_size, p_retailprice) AS BIGINT) AS VARCHAR) ELSE 'x' END AS a FROM part""")
+def pmin_pmax_as_text(t):
+    x = t("part").mutate(high="pmax(p_size, p_retailprice)").mutate(whole="paste(pmin(p_size, 10.0))")
+    return x.mutate(a="paste(whole, if_else(high % 1 == 0, paste(pmax(p_size, p_retailprice)), 'x'))").select("p_partkey", "a")
+
+
+@_query('SELECT c_custkey, c_acctbal AS balance, c_acctbal + 1 AS more FROM customer')
+def mutate_nested_field(t):
+    x = _packed(t).mutate(**{"person.account.more": "person.account.balance + 1"})
+    return x.select(c_custkey="c_custkey", balance="person.account.balance", more="person.account.more")
