@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -153,15 +154,17 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, cells: int | None
                     out[0].append(np.full(len(places), query))
                     out[1].append(postings.ids[places])
                     out[2].append(score[places])
-                if any(abs(int(x)) >= 1 << 63 for one in out[2] if one.dtype == object for x in one):
-                    raise OverflowError("a score among the best is beyond 64 bits")
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "id", "score"])
+                wide = [pa.array([Decimal(int(x)) for x in one], pa.decimal128(38, 0)) if one.dtype == object else pa.array(one).cast(pa.decimal128(38, 0)) for one in out[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), pa.concat_arrays(wide)], names=["query_id", "id", "score"])
 
-    found = met.mapInArrow(run, "query_id long, id long, score long")
+    found = met.mapInArrow(run, "query_id long, id long, score decimal(38, 0)")
     # Repeated query rows and repeated ids agree here; the rest is k rows a query and block.
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    fits = F.abs("score") <= F.lit((1 << 63) - 1).cast("decimal(38, 0)")
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score among the best is beyond 64 bits")).cast("long"))
+    return ranked.select("query_id", "rank", "id", score.alias("score"))
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
