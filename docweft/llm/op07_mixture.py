@@ -73,6 +73,11 @@ def uniform(key: Column, text: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row but maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def by_label(quality: Column) -> Column:
     """Weights of the draw from 0/1 quality labels: good documents 2, bad ones 0.5, those without a label 1."""
     return F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0)
@@ -134,13 +139,13 @@ def _share(tied: DataFrame, scratch: Scratch) -> DataFrame:
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS, bins: int = BINS,
-    keep: tuple[str, ...] | None = None, words: str | None = None, draw: str | None = None,
+    keep: tuple[str, ...] | None = None, words: str | None = None, draw: str | None = None, tie: str | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all if None) with size, source_size, target, copies int and taken long.
 
     ``quality``: weights of the draw, an expression over ``docs`` (all 1 if
-    None). ``words`` and ``draw``: columns that already hold word_count() and
-    uniform(), so that joins need not carry texts. copies: the complete epochs,
+    None). ``words``, ``draw`` and ``tie``: columns that already hold word_count(),
+    uniform() and row_hash(), so that joins need not carry texts. copies: the complete epochs,
     plus 1 for the documents of the fractional selection. taken = copies * size:
     the words taken, repeats counted. A source's taken words exceed its target by
     less than a document.
@@ -148,7 +153,6 @@ def mix(
     outs = ("size", "source_size", "target", "copies", "taken")
     names = [c for c in (docs.columns if keep is None else keep) if c not in outs]
     places = [f"c{i}" for i in range(len(names))]
-    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
     # Columns travel under their places, so no name of theirs can clash. "" stands for the null source; any other has a mark before it.
     rows = docs.select(
         *[F.col(f"`{c}`").alias(p) for c, p in zip(names, places, strict=True)],
@@ -156,7 +160,7 @@ def mix(
         F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("_id"),
         (word_count(F.col(f"`{text}`").cast("string")) if words is None else F.coalesce(F.col(f"`{words}`").cast("long"), F.lit(0))).alias("size"),
         _draw(uniform(F.col(f"`{key}`"), F.col(f"`{text}`")) if draw is None else F.col(f"`{draw}`"), quality).alias("_key"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in (plain if keep is None else [c for c in keep if c in plain])]).alias("_tie"),
+        (row_hash(docs if keep is None else docs.select(*[F.col(f"`{c}`") for c in keep])) if tie is None else F.col(f"`{tie}`")).alias("_tie"),
     )
     scratch = Scratch(docs.sparkSession, "mixture")
     slim = names == [key]
