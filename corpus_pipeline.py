@@ -36,9 +36,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, documents labelled good likelier: a row for each time a document is taken."""
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    sized = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in places.items()], op07_mixture.word_count(F.col("text")).alias("words"), op07_mixture.uniform(F.col("doc_id"), F.col("text")).alias("draw"))
-    rated = sized.join(marks, F.col(places["doc_id"]) == F.col("label_id"), "left")
-    mixed = op07_mixture.mix(rated, places["doc_id"], places["text"], places["source"], op07_mixture.by_label(F.col("quality")), keep=tuple(places.values()), words="words", draw="draw")
+    sized = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in places.items()], op07_mixture.word_count(F.col("text")).alias("words"), op07_mixture.uniform(F.col("doc_id"), F.col("text")).alias("draw"), op07_mixture.row_hash(docs).alias("tie"))
+    # A merge at any size: labels grow with the corpus.
+    rated = sized.join(marks.hint("merge"), F.col(places["doc_id"]) == F.col("label_id"), "left")
+    mixed = op07_mixture.mix(rated, places["doc_id"], places["text"], places["source"], op07_mixture.by_label(F.col("quality")), keep=tuple(places.values()), words="words", draw="draw", tie="tie")
     return op07_mixture.repeated(mixed).select(*[F.col(p).alias(c) for c, p in places.items()])
 
 
