@@ -351,9 +351,9 @@ def second_round(placed: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     return _cells(likely.join(asked, "id").select("bucket", "i", "j", "side", "id", "part", "sig", "bands", "_text"), compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", every: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", every: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """A row an id: n_shingles, component_id (least id reachable by links), kept (is its own component). ``every``: signatures made before."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     every = scratch.keep(signatures(docs, words, key, text), "signatures") if every is None else every
     live = every.where("fp is not null")
     # Rows of the same words, or of one id, are connected: a class (fp) is named by its least id.
@@ -387,6 +387,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = scratch.keep(live.select("fp", "id", "n").join(reps.select("fp", "rep"), "fp").groupBy("id").agg(F.collect_set("rep").alias("reps"), F.max("n").alias("n")), "named")
     ties = named.where(F.size("reps") > 1).select(F.col("id").alias("a"), F.explode("reps").alias("b"))
     of = components(links.unionByName(ties), scratch)
+    for done in (reps, counts, member, pivots, first, main, placed):
+        scratch.drop(done)
     empty = every.groupBy("id").agg(F.max("n").alias("n")).where("n = 0").select("id", F.lit(None).cast("long").alias("rep"), "n")
     final = named.select("id", F.array_min("reps").alias("rep"), "n").unionByName(empty).join(of.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
@@ -419,8 +421,11 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ke
     # Columns travel under their places, so no name of theirs can clash.
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], own.alias("key"), body.alias("text"))
     every = scratch.keep(signatures(rows, words, "key", "text"), "signatures")
-    gone = scratch.keep(near_duplicates(rows, words, percent, "key", "text", every).where("not kept").select(F.col("key").alias("gone")), "gone")
+    inner = Scratch(docs.sparkSession, "minhash")
+    gone = scratch.keep(near_duplicates(rows, words, percent, "key", "text", every, inner).where("not kept").select(F.col("key").alias("gone")), "gone")
     again = scratch.keep(every.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("gone")), "again")
+    inner.delete(inner.path)
+    scratch.drop(every)
     places = [f"c{i}" for i in range(len(docs.columns))]
     packed = F.struct(*places).alias("row")
     # Merges at any size: the documents that go grow with the corpus.

@@ -195,8 +195,8 @@ def _clean(raw: bytes, gone: np.ndarray | None) -> tuple[int, bytes]:
 def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", batches: int = 2, digest: bool = False) -> DataFrame:
     """A row for each row of ``docs``: id, k2, n_words long, n_removed long, and kept (string).
 
-    kept: the words no repeated window covers, joined by single spaces; with
-    ``digest`` their SHA-256 instead, as kept_sha256. ``batches``: into how many
+    kept: the words no repeated window covers, joined by single spaces, null where
+    none is removed; with ``digest`` the SHA-256 of the words kept instead, as kept_sha256. ``batches``: into how many
     parts of the rows, dealt by hash of the id, the index is fed.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
@@ -227,7 +227,9 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
     def finish(raw: bytes, n: int, spans: list[tuple[int, int]]) -> tuple[int, str]:
         removed, rest = _clean(raw, _cover(n, spans, length) if spans else None)
-        return removed, hashlib.sha256(rest).hexdigest() if digest else rest.decode("utf-8", "replace")
+        if not digest:
+            return removed, rest.decode("utf-8", "replace") if removed else None
+        return removed, hashlib.sha256(rest).hexdigest()
 
     def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -262,7 +264,8 @@ def scrub(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
         ),
         "drafts",
     )
-    scratch.drop(found)
+    for done in (found, classes, kinds, hot, *index.hits, *index.runs):
+        scratch.drop(done)
     # Windows of stretches that differ, one by one: n is how many places a stretch stands for.
     asked = drafts.where("open is not null").select("k1", "k2", F.explode("open").alias("w")).select("k1", "k2", "w.*")
     twice = asked.groupBy("h").agg(F.sum("n").alias("places"), F.min("n").alias("least")).where("places > 1 and least = 1")
