@@ -18,7 +18,7 @@ the vocabulary and its languages, whatever the corpus). Words are scored in
 groups of like length; a long one is gone through in stretches, so memory does
 not grow with its pieces. The fit uses at most ROWS documents of each language,
 the least by hash of their id, found by a cut in the hash that follows from the
-language's count: no language is lost beside a larger one.
+language's count of ids: no language is lost beside a larger one.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with
 score 0; without any language to learn from every text is ``und`` with score 0;
@@ -269,11 +269,12 @@ def fit(docs: DataFrame, vocabulary: str, learn: Column, rows: int = ROWS, key:
     """``learn`` reads the column _id."""
     own = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    if not counts:
+    found = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_id", 0.02).alias("ids")).collect()  # a row a language
+    if not found:
         return train([], [], pieces_of(vocabulary))
-    # A cut that leaves about twice as many as wanted (all, if there are no more), then the least by hash.
-    cuts = [(x, (2 * rows + 100) / n) for x, n in counts.items()]
+    counts = {r.lang: r.n for r in found}
+    # A cut that leaves about twice as many ids as wanted (all, if there are no more), then the least by hash.
+    cuts = [(r.lang, (2 * rows + 100) / r.ids) for r in found]
     spark = docs.sparkSession
     place = (F.xxhash64("_id").cast("double") / 2.0**64 + 0.5).alias("place")
     near = own.select("_id", "lang", place).join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut double")), "lang").where("place < cut")

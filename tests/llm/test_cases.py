@@ -139,6 +139,12 @@ def _segments(raw, chance):
     return ahead
 
 
+def test_a_language_of_many_rows_and_few_ids_is_learned(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(300)] + [(10_000 + i % 3, "der hund und die katze", "de") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert op09_langid.fit(docs, PIECES, F.lit(True), rows=20).names == ["de", "en"]
+
+
 @pytest.mark.parametrize("group", [1 << 16, 64, 11])
 def test_language_sums_over_whole_words_of_any_length(monkeypatch, group):
     monkeypatch.setattr(op09_langid, "_GROUP", group)
