@@ -4,6 +4,14 @@ Quality classifier, MinHash near-dedup, substring dedup, mixing sources to
 target weights, SentencePiece encoding. Each stage takes (spark, docs, sf_dir)
 and returns a DataFrame; run() applies them in order through tables in the shared
 folder. All but the last return the columns of ``documents``.
+
+Defined cases: every stage gives no rows for an empty table, and all but the
+last keep other columns under their names. Null and empty texts: quality scores them by the bias
+alone, near_dedup and substring_dedup keep them, mixture takes none of them (no
+words). Without labels of both classes quality accepts all. Of rows that repeat
+an id and its words near_dedup keeps one; groups go by least id, null ids last.
+substring_dedup drops texts that lose all words; a null source is a source of
+its own in mixture. For the last stage's cases see its operator.
 """
 
 from __future__ import annotations
